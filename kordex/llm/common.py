@@ -52,6 +52,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of up to so many rows (one a source, one a language) is broadcast once its rows are counted.
+SMALL_ROWS = 10_000
+
+
+def small_or_not(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, with a broadcast hint if its counted rows are few; else joins shuffle and split skew."""
+    cut = checkpointed(df)
+    return F.broadcast(cut) if cut.count() <= SMALL_ROWS else cut
+
+
 def free_name(df_columns: list[str], wanted: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df_columns}

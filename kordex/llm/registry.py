@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules
+from . import mixing, quality, rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
         "op3_mixing": mixing.op3_mixing,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op10_rules": rules.op10_rules,
     }
 
