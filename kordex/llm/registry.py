@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, rules, toxicity
+from . import mixing, quality, rules, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_tokens": tokencount.op2_tokens,
         "op3_mixing": mixing.op3_mixing,
         "op7_toxicity": toxicity.op7_toxicity,
         "op10_rules": rules.op10_rules,
