@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, rules, tokencount, toxicity
+from . import mixing, quality, rules, secrets, tokencount, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": quality.op1_quality,
         "op2_tokens": tokencount.op2_tokens,
         "op3_mixing": mixing.op3_mixing,
+        "op4_secrets": secrets.op4_secrets,
         "op7_toxicity": toxicity.op7_toxicity,
         "op10_rules": rules.op10_rules,
     }
