@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, rules, secrets, tokencount, toxicity, warc
+from . import ctw, decontam, mixing, quality, rules, secrets, tokencount, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tokens": tokencount.op2_tokens,
         "op3_mixing": mixing.op3_mixing,
         "op4_secrets": secrets.op4_secrets,
+        "op5_ctw": ctw.op5_ctw,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_decontam": decontam.op8_decontam,
         "op9_warc": warc.op9_warc,
