@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, free_name, table
+from .common import WORD, free_name, small_or_not, table
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 
@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """docs -> (all columns but the text, size, source_size, target, copies): how often the mix takes each document."""
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(F.col(text_col))).drop(text_col)
-    targets = source_targets(sized.select(F.col(source_col).alias("source"), "size"), weights, share, most)
+    targets = small_or_not(source_targets(sized.select(F.col(source_col).alias("source"), "size"), weights, share, most))
     key = free_name([*docs.columns, "size"], "mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
@@ -67,6 +67,19 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return joined.drop(key).withColumn("copies", copies.cast("long"))
 
 
+def emitted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with its number in a column copy (from 1)."""
+    names = [c for c in docs.columns if c != "copy"]
+    size, key, rate_col = (free_name(names, c) for c in ("mix_size", "mix_source", "mix_rate"))
+    sizes = docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
+    targets = small_or_not(source_targets(sizes, weights, share, most).select(F.col("source").alias(key), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate_col)))
+    joined = docs.select(*names).join(targets, F.col(source_col).eqNullSafe(F.col(key)))
+    whole = F.floor(rate_col)
+    copies = (whole + F.when(draw(F.col(id_col), seed) < F.col(rate_col) - whole, 1).otherwise(0)).cast("int")
+    taken = joined.withColumn(size, copies).where(F.col(size) > 0)
+    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col(size))).alias("copy"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

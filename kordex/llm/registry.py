@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontam, mixing, quality, rules, secrets, tokencount, toxicity, warc
+from . import ctw, decontam, jaccard, mixing, quality, rules, secrets, tokencount, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op4_secrets": secrets.op4_secrets,
         "op5_ctw": ctw.op5_ctw,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_decontam": decontam.op8_decontam,
         "op9_warc": warc.op9_warc,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.ORACLE,
+        "op6_jaccard": jaccard.ORACLE,
         "op8_decontam": decontam.ORACLE,
         "op9_warc": warc.ORACLE,
     }

@@ -81,28 +81,44 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
     return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit)
 
 
+def probabilities(model: bytes, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Runs of rows with their scores."""
+    weights, bias = np.zeros(1 << DIM_BITS), -35.0
+    if model:
+        bias, at, w = pickle.loads(model)
+        weights[at] = w
+    used = weights != 0
+    for part in slices(batches, text):
+        rows, at = features(*buffers(part.column(text)))
+        hit = used[at]
+        rows, at = distinct(rows[hit], at[hit])
+        total = np.bincount(rows, weights[at], part.num_rows) + bias
+        yield part, 1 / (1 + np.exp(-np.clip(total, -35, 35))) if model else np.zeros(part.num_rows)
+
+
 def score(docs: DataFrame, model: bytes) -> DataFrame:
     """docs (its first two columns: an id and a text) -> the id, score."""
     kept = docs.schema.fields[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = np.zeros(1 << DIM_BITS), -35.0
-        if shared.value:
-            bias, at, w = pickle.loads(shared.value)
-            weights[at] = w
-        used = weights != 0
-        for part in slices(batches, 1):
-            rows, at = features(*buffers(part.column(1)))
-            hit = used[at]
-            rows, at = distinct(rows[hit], at[hit])
-            total = np.bincount(rows, weights[at], part.num_rows) + bias
-            p = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if shared.value else np.zeros(part.num_rows)
+        for part, p in probabilities(shared.value, batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64())], [kept.name, "score"])
 
     return docs.mapInArrow(run, T.StructType([kept, T.StructField("score", T.DoubleType())]))
 
 
+def accepted(docs: DataFrame, model: bytes, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score under the threshold."""
+    at, shared = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, p in probabilities(shared.value, batches, at):
+            yield part.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_held_out(score(docs, train(docs, table(spark, sf_dir, "labels"))), THRESHOLD)
