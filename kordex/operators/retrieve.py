@@ -74,7 +74,8 @@ def keyword_routes(queries: DataFrame, normal_text: Column, routes: tuple = v.KE
 def branch_bonus(scores: Column, branch: Column) -> Column:
     """scores: map of branch to score. A candidate in a branch gains min(.22, .04 s); below one, min(.18, .03 s)."""
     below = F.aggregate(F.map_entries(scores), F.lit(0.0), lambda a, e: F.greatest(a, F.when(F.startswith(branch, e["key"]), F.least(F.lit(0.18), e["value"] * 0.03)).otherwise(0.0)))
-    return F.coalesce(F.least(F.lit(0.22), F.try_element_at(scores, branch) * 0.04), below, F.lit(0.0))
+    own = F.try_element_at(scores, branch)
+    return F.when(own.isNotNull(), F.least(F.lit(0.22), own * 0.04)).otherwise(F.coalesce(below, F.lit(0.0)))
 
 
 def marker(markers: Column, key: str) -> Column:
