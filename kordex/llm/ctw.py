@@ -21,7 +21,6 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import FOLD, SPACED, buffers, mix, words
-from .common import crc_mod, slices, table, written
+from .common import SLICE_BYTES, crc_mod, slices, table, written
 
-DEPTH, SLOT_BITS, BROADCAST_WORDS = 4, 22, 8_000_000
+DEPTH, SLOT_BITS, BROADCAST_WORDS = 4, 22, 6_000_000
 FOLDS, HELD = 7, 2
 WORD, GRAM, TOTAL = 0, 1, 2
 _STEP = 1500.0  # of a logit in the published tables
@@ -167,8 +166,8 @@ def levels(grams: DataFrame) -> list[DataFrame]:
     return out
 
 
-def published(nodes: list[DataFrame]) -> bytes:
-    """Tables of slots, from depth 0 up, as bytes: bounded by slots(), however large the tree is."""
+def published(nodes: list[DataFrame]) -> list[tuple]:
+    """Tables of slots, from depth 0 up: bounded by slots(), however large the tree is."""
     made = []
     for depth, level in zip(range(DEPTH, -1, -1), nodes, strict=True):
         best = level.groupBy("slot").agg(F.max(F.struct((F.col("zeros") + F.col("ones")).alias("n"), "tag", "own", "prior")).alias("b"))
@@ -178,7 +177,7 @@ def published(nodes: list[DataFrame]) -> bytes:
         there = np.zeros(slots(depth), bool)
         tag[slot], own[slot], prior[slot], there[slot] = (*(got.column(c).to_numpy() for c in ("tag", "own", "prior")), True)
         made.append((tag, own, prior, np.packbits(there)))
-    return pickle.dumps(made[::-1], protocol=5)
+    return made[::-1]
 
 
 class Tree:
@@ -186,8 +185,8 @@ class Tree:
 
     REMEMBERED = 20
 
-    def __init__(self, data: bytes):
-        self.levels = [(tag, own, prior, np.unpackbits(there).astype(bool)) for tag, own, prior, there in pickle.loads(data)]
+    def __init__(self, tables: list[tuple]):
+        self.levels = tables
         self.keys = np.full(1 << self.REMEMBERED, -1, np.int64)
         self.values = np.zeros(1 << self.REMEMBERED)
 
@@ -197,7 +196,7 @@ class Tree:
         for depth in range(DEPTH, -1, -1):
             tag, own, prior, there = self.levels[depth]
             slot, want = slot_of((context & ((1 << 8 * depth) - 1)) << 8 | node, depth)
-            seen = there[slot] & (tag[slot] == want)
+            seen = ((there[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) & (tag[slot] == want)
             kt = 1 / (1 + np.exp(-own[slot] / _STEP))
             w = np.where(met, 1 / (1 + np.exp(-prior[slot] / _STEP)), 1.0)
             p = np.where(seen, w * kt + (1 - w) * p, p)
@@ -244,7 +243,7 @@ def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAS
         got = vocabulary.toArrow()
         key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
         order = np.argsort(key)
-        shared = spark.sparkContext.broadcast(pickle.dumps((key[order], n[order]), protocol=5))
+        shared = spark.sparkContext.broadcast((key[order], n[order].astype(np.int32 if n.max(initial=0) < 1 << 31 else np.int64)))
         del got, key, n, order
     below = float(total + distinct + 1)
     end_log = float(np.log10((ends + 1) / below))
@@ -254,8 +253,8 @@ def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Tree(tree.value)
-        known = pickle.loads(shared.value) if near else None
-        for part in slices(batches, 1):
+        known = shared.value if near else None
+        for part in slices(batches, 1, SLICE_BYTES // 2):
             data, offs = buffers(part.column(1))
             code, begin = grams_of(data, offs)
             scored = np.add.reduceat(model.logs(code), begin[:-1])
@@ -271,7 +270,7 @@ def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAS
                     at = np.minimum(np.searchsorted(known[0], h[order]), len(known[0]) - 1)
                     c[order] = np.where(known[0][at] == h[order], known[1][at], 0)
                 hits = hits + np.bincount(row, c > 0, rows).astype(np.int64)
-                base = base + np.bincount(row, np.log10((c + 1) / below), rows)
+                base = base + np.bincount(row, np.log10((c + 1.0) / below), rows)
             else:
                 each = [np.unique(h[a:b], return_counts=True) for a, b in zip(of[:-1], of[1:], strict=True)]
                 lists = [pa.array([k for k, _ in each], pa.list_(pa.int64())), pa.array([n for _, n in each], pa.list_(pa.int64()))]
