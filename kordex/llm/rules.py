@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_or_not, table, written
 
 #: Frequent function words (ASCII only) of the four languages.
 COMMON = {
@@ -105,7 +105,7 @@ def _summed(profiles: DataFrame, chars: Column, common: Column) -> DataFrame:
 
 
 def _measured(profiles: DataFrame, refs: DataFrame) -> DataFrame:
-    both = profiles.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang"))).drop("ref_lang")
+    both = profiles.join(small_or_not(refs), F.col("lang").eqNullSafe(F.col("ref_lang"))).drop("ref_lang")
     return both.withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", js_distance(F.col("common"), F.col("ref_common"))).drop("ref_chars", "ref_common")
 
 
@@ -116,7 +116,7 @@ def references(profiles: DataFrame) -> DataFrame:
     """
     first = _measured(profiles, _summed(profiles, F.lit(True), F.lit(True)))
     cuts = first.groupBy(F.col("lang").alias("cut_lang")).agg(F.percentile_approx("char_distance", 0.5, 1000).alias("cut_char"), F.percentile_approx("word_distance", 0.5, 1000).alias("cut_word"))
-    near = first.join(cuts, F.col("lang").eqNullSafe(F.col("cut_lang")))
+    near = first.join(small_or_not(cuts), F.col("lang").eqNullSafe(F.col("cut_lang")))
     return _summed(near, F.col("char_distance") <= F.col("cut_char"), F.col("word_distance") <= F.col("cut_word"))
 
 
