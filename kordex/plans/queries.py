@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..functions import vocabulary as v
-from ..operators import audit, clean, decide, lookup, merge, retrieve, rules
+from ..operators import audit, clean, decide, lookup, merge, proposals, retrieve, rules, taxonomy
 from . import catalogue, matching
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,3 +587,76 @@ def diagnostics_join(spark: SparkSession, sf: str) -> DataFrame:
     o = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     d = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.concat(F.lit("seen"), (F.col("o_orderkey") % 3).cast("string")).alias("status"), (F.col("o_orderkey") % 3).alias("level"))
     return audit.joined_diagnostics(o, d, "o_orderkey")
+
+
+@query("""with o as (select o_orderkey, case when o_orderkey % 13 = 0 then ' ' else o_orderpriority end as asked, case when o_custkey % 4 = 0 then null else o_orderstatus end as found, o_orderkey % 11 = 0 as section, o_orderstatus = 'P' as review, case when o_custkey % 9 = 0 then 'x' end as error from orders),
+k as (select *, trim(asked) <> '' as a, coalesce(found, '') = '' as lost from o)
+select count(*) filter (a and not section) as total, count(*) filter (a and not section and not lost) as found, count(*) filter (a and not section and lost) as not_found, count(*) filter (a and not section and review) as requires_review,
+  count(*) filter (a and not section and error is not null) as errors, count(*) filter (section) as skipped_non_item, count(*) filter (not a) as blank_rows from k""")
+def business_summary(spark: SparkSession, sf: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    asked, found = F.when(k % 13 == 0, " ").otherwise(F.col("o_orderpriority")), F.when(c % 4 != 0, F.col("o_orderstatus"))
+    return proposals.business_summary(t(spark, sf, "orders"), asked, found, k % 11 == 0, F.col("o_orderstatus") == "P", F.when(c % 9 == 0, "x"))
+
+
+_WIDE = """w as (select l_suppkey % 7 as branch, case when l_partkey % 4 = 0 then 'other' else 'f' || (l_partkey % 11) end as family from lineitem), c as (select branch, family, count(*) as n from w group by 1, 2),
+s as (select *, sum(n) over (partition by branch)::bigint as total, round(n / (sum(n) over (partition by branch)), 6) as share, row_number() over (partition by branch order by n desc, family) as r from c),
+g as (select branch, max(total) as n, count(*) as k, max(family) filter (r = 1) as top, max(share) filter (r = 1) as t, coalesce(max(share) filter (r = 2), 0) as second, coalesce(max(share) filter (family = 'other'), 0) as other from s group by 1)"""
+
+
+@query(f"""with {_WIDE}, f as (select *, ((n >= 20000 and k >= 5 and t < 0.9) or (n >= 5000 and k >= 6 and t < 0.8) or (n >= 1000 and k >= 8 and t < 0.7)) and (second >= 0.03 or other >= 0.08) as split from g)
+select cast(branch as varchar) as branch, split, top = 'other' and n >= 100 and t >= 0.6 and other >= 0.6 and k <= 6 and not split as new_family from f where n >= 100 and (top = 'other' or t < 0.85 or second >= 0.1 or k >= 5 or other >= 0.1)""")
+def branch_guardrails(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.col("l_partkey")
+    rows = t(spark, sf, "lineitem").select((F.col("l_suppkey") % 7).cast("string").alias("branch"), F.when(p % 4 == 0, "other").otherwise(F.concat(F.lit("f"), (p % 11).cast("string"))).alias("family"))
+    found = audit.branch_cleanup_audit(audit.branch_family_summary(rows, F.col("branch"), F.col("family")))
+    split = taxonomy.needs_split(found)
+    return found.select("branch", split.alias("split"), taxonomy.new_family_candidate(split).alias("new_family"))
+
+
+@query(f"with {_SUMMARY} select branch, max(branch_total_rows) as rows_total, string_agg(effective_family || ':' || rows_count, ' ' order by rows_count desc, effective_family) as families from summary group by branch")
+def branch_probe_report(spark: SparkSession, sf: str) -> DataFrame:
+    report = taxonomy.probe_report(_summary(spark, sf))
+    return report.select("branch", "rows_total", F.array_join(F.transform("families", lambda x: F.concat_ws(":", x["family"], x["rows_count"].cast("string"))), " ").alias("families"))
+
+
+@query("select lower(p_type) as branch, count(*) as n from part group by 1 order by n desc, branch limit 3")
+def frequent_branches(spark: SparkSession, sf: str) -> DataFrame:
+    return taxonomy.frequent_branches(t(spark, sf, "part").select(F.lower("p_type").alias("branch")), "branch")
+
+
+@query()
+def branch_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    branches = items(spark, sf).select(F.col("branch_path").alias("branch")).distinct()
+    asked = branches.select(F.monotonically_increasing_id().alias("proposal_id"), F.when(F.length("branch") % 2 == 0, F.upper("branch")).otherwise(F.col("branch")).alias("branch"))
+    return taxonomy.aligned(asked, branches)
+
+
+@query("""select l_orderkey, l_linenumber, l_extendedprice as unit_cost, l_extendedprice * l_quantity as total_cost, null::double as labour_cost from lineitem""")
+def cost_columns(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
+    return decide.cost_columns(rows).drop("price", "quantity")
+
+
+@query("""select o_orderkey, case when o_orderkey % 5 = 0 then 'edited' else o_orderstatus end as status, o_orderpriority as priority from orders""")
+def corrections_join(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    edits = o.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("edited").alias("status"), F.lit(None).cast("string").alias("priority"))
+    return proposals.corrected(o, edits, "o_orderkey")
+
+
+@query("select o_orderkey, case when o_custkey % 5 = 0 then 'service_error|' || o_orderpriority || '|timeout' when o_custkey % 3 = 0 then 'no_compatible_candidate|' || o_orderpriority || '|rack_depth' when o_custkey % 2 = 0 then 'not_in_catalogue|' || o_orderpriority || '|no branch' else 'nothing_alike|' || o_orderpriority end as told from orders")
+def not_found_reason(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("o_custkey")
+    told = proposals.not_found(F.col("o_orderpriority"), F.when(c % 2 == 0, "no branch"), F.when(c % 5 == 0, "timeout"), F.when(c % 3 == 0, "rack_depth"))
+    return t(spark, sf, "orders").select("o_orderkey", told.alias("told"))
+
+
+@query("""with s as (select p_partkey, 0.1 * (p_size <= 25)::int + 0.18 * (p_size > 0)::int as bonus from part) select p_partkey, round(least(0.45, bonus)::double, 6) as bonus from s""")
+def series_bonus(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    line = F.concat(F.lit("лоток 3х"), k)
+    other = F.concat(F.lit("короб "), F.when(F.col("p_size") <= 25, F.lit("3x")).otherwise("7x"), k)
+    rows = t(spark, sf, "part").select("p_partkey", "p_size", line.alias("q"), other.alias("i")).withColumns({"qd": similarity.dimension_signatures("q"), "idn": similarity.dimension_signatures("i")})
+    bonus = proposals.series_bonus(F.col("q"), F.col("i"), F.col("qd"), F.col("idn"), F.lit("ab100"), F.concat(F.lit("ab100"), F.col("p_size").cast("string")))
+    return rows.select("p_partkey", F.round(bonus, 6).alias("bonus"))

@@ -46,5 +46,5 @@ def start_merge(stream: DataFrame, path: str, checkpoint: str, key: Column, orde
 
 def windowed_counts(stream: DataFrame, stamp: str, by: str, width: str, lateness: str) -> DataFrame:
     """Counts by window and key with a watermark: late rows up to `lateness` count, state older than that goes."""
-    windowed = stream.withWatermark(stamp, lateness).groupBy(F.window(stamp, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
+    windowed = stream.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, lateness).groupBy(F.window(stamp, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
     return windowed.select(F.col("w.start").alias("window_start"), by, "n")

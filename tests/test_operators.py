@@ -194,3 +194,56 @@ def test_gap_reason(spark, code, want):
 @pytest.mark.parametrize(("stage", "code", "want"), [("resolved", None, "resolved"), (None, None, "runtime_error"), ("query_input", "x", "input_or_query_shape"), ("retrieval", "no_candidates_found", "search_layer_gap"), ("retrieval", "x", "matcher_retrieval_or_ranking")])
 def test_reason_class(spark, stage, code, want):
     assert one(spark, audit.reason_class(F.col("s"), F.col("c")), s=stage, c=code) == want
+
+
+def test_sheet_columns():
+    from kordex.operators import proposals as p
+
+    assert p.input_columns(["A", "Наименование оборудования, материалов и кабелей", "Найденная номенклатура", "Артикул"]) == ("Наименование оборудования, материалов и кабелей", "Артикул")
+    assert p.input_columns(["x", "y", "z"]) == ("y", "z") and p.input_columns(["x"]) == ("x", None)
+    with pytest.raises(ValueError, match="columns"):
+        p.input_columns([])
+
+
+def test_embedded_header_and_views(spark):
+    from kordex.operators import proposals as p
+
+    df = spark.createDataFrame([(0, "№", "Наименование", None), (1, "1", "Кабель", "x")], "row_id long, _c0 string, _c1 string, _c2 string")
+    out = p.promoted(df)
+    assert out.columns == ["row_id", "№", "Наименование", "_c2"] and out.count() == 1
+    assert p.promoted(out).count() == 1
+    view = spark.createDataFrame([(1, 2, 3, 4, 5)], "a int, debug int, found int, extra int, price int")
+    assert p.business_view(view, ["debug"], "found", "price").columns == ["a", "found", "price"]
+
+
+def test_proposals_are_aligned(spark):
+    from kordex.operators import taxonomy as tx
+
+    expected = spark.createDataFrame([("электрика > кабели",), ("электрика > провода",), ("свет > лампы светодиодные",)], "branch string")
+    asked = spark.createDataFrame([(1, "электрика > кабели"), (2, "Электрика>Провода"), (3, "свет > лампы светодиодны"), (4, "мебель"), (5, None)], "proposal_id long, branch string")
+    assert {r.proposal_id: r.method for r in tx.aligned(asked, expected).collect()} == {1: "exact", 2: "normalized_exact", 3: "fuzzy"}
+
+
+def test_branch_selection_by_stem(spark):
+    from kordex.operators import taxonomy as tx
+
+    branches = spark.createDataFrame([("а > кабели силовые",), ("а > б",), ("в > кабели",), ("а",), ("кабель",)], "branch string")
+    picked = spark.createDataFrame([("а > кабелями",)], "selection string")
+    assert {r.branch for r in tx.matches_selection(branches, picked).collect()} == {"а > кабели силовые", "а", "кабель"}
+
+
+def test_replies_and_chooser(spark):
+    from kordex.operators import taxonomy as tx
+
+    assert tx.parse_reply('Sure: ```json\n{"index": 1}\n```') == {"index": 1} and tx.parse_reply("so [1, 2]") == [1, 2]
+    with pytest.raises(ValueError, match="JSON"):
+        tx.parse_reply("no")
+    df = spark.createDataFrame([(1, "t", ["a", "b"]), (2, "t", [])], "query_id long, text string, options array<string>")
+    assert {r.chosen for r in tx.with_chooser(df, None).collect()} == {None}
+    assert [r.chosen for r in tx.with_chooser(df, lambda t, o: '{"index": 1}').orderBy("query_id").collect()] == ["b", None]
+
+
+def test_json_list(spark):
+    from kordex.operators import proposals as p
+
+    assert one(spark, p.json_list(F.col("c")), c='["a"]') == ["a"] and one(spark, p.json_list(F.col("c")), c="oops") == [] and one(spark, p.json_list(F.col("c")), c=None) == []

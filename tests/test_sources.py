@@ -93,3 +93,25 @@ def test_runs(spark, tmp_path):
     time.sleep(0.01)
     assert book.interrupt_stale(dt.timedelta(0)) == [old]
     assert [r["run_id"] for r in book.newest(1)] == [old]
+
+
+def test_sync_of_folders(spark, tmp_path):
+    from kordex.sources import remote
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "a" / "x.csv").write_text("1")
+    (tmp_path / "a" / "y.txt").write_text("1")
+    (tmp_path / "b" / "old.csv").write_text("1")
+    assert remote.sync(spark, str(tmp_path / "a"), str(tmp_path / "b")) == (["x.csv"], ["old.csv"])
+    assert remote.sync(spark, str(tmp_path / "a"), str(tmp_path / "b")) == ([], [])
+    assert sorted(n for n in remote.listing(spark, str(tmp_path / "b")) if n.endswith(".csv")) == ["x.csv"]
+
+
+def test_windowed_counts(spark, tmp_path, sf):
+    spark.read.parquet(f"{sf}/events.parquet").write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(str(tmp_path / "events"))
+    q = incremental.windowed_counts(stream, "ts", "event_type", "1 day", "1 hour").writeStream.format("memory").queryName("counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("counts").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
