@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds in numpy form at once (a longer text is taken alone).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: Class of characters that end a word: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,9 +72,19 @@ def free_name(df_columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; when a task has seen them all, its worker, which Spark keeps for later tasks, gives freed memory back."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call, and nothing to give back
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of all batches in runs whose texts (column number `text`) have about `limit` bytes."""
-    for batch in batches:
+    for batch in trimmed(batches):
         n = batch.num_rows
         if not n:
             continue

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod
+from .bytewords import buffers
+from .common import crc_mod, trimmed
 
 FOLDS, HELD = 5, 0
 
@@ -25,11 +27,19 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> Dat
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label", "ord")
 
 
-def trained(features: DataFrame, fit: Callable[[list[tuple]], bytes]) -> bytes:
-    """fit(rows of features, ordered) run in one task, which gets the bounded sample; b"" if there are no rows."""
+def trained(features: DataFrame, fit: Callable[[list[tuple]], bytes], kind: np.dtype) -> bytes:
+    """fit(rows) run in one task, which gets the bounded sample in order; b"" if there are no rows.
+
+    features (ord, label, packed numbers) -> rows (ord, label, array of `kind`); the arrays are views of what Spark sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        rows = []
+        for b in trimmed(batches):
+            data, offs = buffers(b.column(2))
+            packed = data.view(kind)
+            ends = (offs // np.dtype(kind).itemsize).tolist()
+            rows += [(o, y, packed[i:j]) for o, y, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends[:-1], ends[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows) if rows else b""], pa.binary())], ["model"])
 
     one = features.repartition(1).sortWithinPartitions(*features.columns)

@@ -134,7 +134,7 @@ def forward_backward(unary: np.ndarray, of: np.ndarray, pair: np.ndarray, counts
 
 def fit(samples: list[tuple]) -> bytes:
     """samples: (ord, label, lines) -> pickled (weights, 2 x 2 transitions, share of good, curve)."""
-    parts = [(label, np.frombuffer(x, dtype=np.float32).reshape(-1, OWN).astype(np.float64)) for _, label, x in samples]
+    parts = [(label, x.reshape(-1, OWN).astype(np.float64)) for _, label, x in samples]
     share = float(np.mean([label for label, _ in parts]))
     cut = [(label, x[i : i + TRAIN_LINES]) for label, x in parts for i in range(0, len(x), TRAIN_LINES)]
     if not cut:
@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(packed, pa.binary())], ["ord", "label", "x"])
 
     schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit)
+    return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit, np.float32)
 
 
 def label_lines(data: np.ndarray, offs: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -288,7 +288,7 @@ def normal(t: str) -> str:
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _hashes(code: np.ndarray, a: np.ndarray, b: np.ndarray, segment: int = 1 << 21) -> np.ndarray:
+def _hashes(code: np.ndarray, a: np.ndarray, b: np.ndarray, segment: int = 1 << 20) -> np.ndarray:
     out = np.empty(len(a), np.uint64)
     i = 0
     while i < len(a):

@@ -50,7 +50,7 @@ def fit(samples: list[tuple]) -> bytes:
     """samples: (ord, label, coordinates) -> pickled (intercept, coordinates, weights)."""
     z, n = np.zeros(1 << DIM_BITS), np.zeros(1 << DIM_BITS)
     z0 = n0 = 0.0
-    data = [(label, np.frombuffer(at, dtype=np.int32)) for _, label, at in samples]
+    data = [(label, at) for _, label, at in samples]
     bias = 0.0
     for _ in range(EPOCHS):
         for label, at in data:
@@ -78,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(packed, pa.binary())], ["ord", "label", "at"])
 
     schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("at", T.BinaryType())])
-    return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit)
+    return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit, np.int32)
 
 
 def probabilities(model: bytes, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
