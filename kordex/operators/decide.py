@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
@@ -17,14 +17,17 @@ def first_match(rules: Sequence[tuple[Column, str]], default: str = "") -> Colum
 
 
 def soft_filter(candidates: DataFrame, keep: Column, key: str = "query_id") -> DataFrame:
-    """Candidates that hold the condition; all of a request's, if none does."""
-    flagged = candidates.withColumn("__hit", F.coalesce(keep, F.lit(False)))
-    some = flagged.withColumn("__any", F.max("__hit").over(Window.partitionBy(key)))
-    return some.where(F.col("__hit") | ~F.col("__any")).drop("__hit", "__any")
+    """Candidates that hold the condition; all of a request's, if none does.
+
+    Keys with a hit are a partial aggregate and come back by an anti-join, whose hot partitions Spark splits.
+    """
+    hit = F.coalesce(keep, F.lit(False))
+    some = candidates.where(hit).select(key).distinct()
+    return candidates.where(hit).unionByName(candidates.where(~hit).join(some, key, "left_anti").select(*candidates.columns))
 
 
 def soft_filters(candidates: DataFrame, rules: Iterable[Column], key: str = "query_id") -> DataFrame:
-    """Soft filters one after the other, in one window partitioning."""
+    """Soft filters one after the other."""
     return reduce(lambda df, rule: soft_filter(df, rule, key), rules, candidates)
 
 
