@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..functions import vocabulary as v
-from ..operators import audit, clean, decide, lookup, merge, proposals, retrieve, rules, taxonomy
+from ..operators import audit, clean, decide, filters, lookup, merge, proposals, retrieve, rules, taxonomy
 from . import catalogue, matching
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -660,3 +660,46 @@ def series_bonus(spark: SparkSession, sf: str) -> DataFrame:
     rows = t(spark, sf, "part").select("p_partkey", "p_size", line.alias("q"), other.alias("i")).withColumns({"qd": similarity.dimension_signatures("q"), "idn": similarity.dimension_signatures("i")})
     bonus = proposals.series_bonus(F.col("q"), F.col("i"), F.col("qd"), F.col("idn"), F.lit("ab100"), F.concat(F.lit("ab100"), F.col("p_size").cast("string")))
     return rows.select("p_partkey", F.round(bonus, 6).alias("bonus"))
+
+
+_PAIRS_SQL = f"{_ITEMS}, c as (select size as query_id, row_idx, name, branch_path, price, row_idx % 3 as im, size % 3 as qm from items)"
+
+
+@query(f"""with {_PAIRS_SQL}, a as (select *, case when qm > 0 then (qm = im)::int end as h1 from c), b as (select * from (select *, max(coalesce(h1, 0)) over (partition by query_id) as any1 from a) where coalesce(h1, 0) = 1 or any1 = 0),
+d as (select *, (contains(name, 'ring') or contains(name, 'bolt'))::int as h2 from b), e as (select * from (select *, max(h2) over (partition by query_id) as any2 from d) where h2 = 1 or any2 = 0) select query_id, row_idx from e""")
+def secondary_filters(spark: SparkSession, sf: str) -> DataFrame:
+    m = lambda c: F.create_map(F.lit("category"), F.when(c > 0, c.cast("string")).otherwise(""))
+    pairs = items(spark, sf).select(F.col("size").alias("query_id"), "row_idx", "name", m(F.col("size") % 3).alias("query_markers"), F.create_map(F.lit("category"), (F.col("row_idx") % 3).cast("string")).alias("item_markers"))
+    rules_ = [filters.Preference("require_marker_equal", marker="category"), filters.Preference("prefer_any_tokens", tokens=("ring", "bolt"))]
+    return filters.prefer(pairs, rules_, F.col("name")).select("query_id", "row_idx")
+
+
+@query("""select p_partkey, case when p_partkey % 3 <> p_size % 3 and p_partkey % 3 > 0 and p_size % 3 > 0 then 'category_mismatch' when (p_partkey % 2) <> (p_size % 2) then 'duplex_mismatch' else '' end as reason from part""")
+def hard_incompatibility(spark: SparkSession, sf: str) -> DataFrame:
+    m = lambda c: F.create_map(F.lit("category"), F.when(F.col(c) % 3 > 0, (F.col(c) % 3).cast("string")).otherwise(""), F.lit("duplex"), (F.col(c) % 2).cast("string"))
+    reason = filters.hard_incompatibility(m("p_partkey"), m("p_size"), [("category", "category_mismatch"), ("duplex", "duplex_mismatch")])
+    return t(spark, sf, "part").select("p_partkey", reason.alias("reason"))
+
+
+@query(f"""with {_ITEMS}, f as (select row_idx, family as qf, case when row_idx % 5 = 0 then 'rod' else family end as cf, row_idx % 4 = 0 as strict, case when row_idx % 9 = 0 then 'weakly_compatible' else 'compatible' end as label from items)
+select row_idx, qf <> 'other' and cf <> 'other' and qf <> cf and not (qf = 'gear' and cf = 'rod') as forbidden, label = 'compatible' and (not strict or qf = cf or (qf <> 'gizmo' and qf = 'gear' and cf = 'rod')) as fallback from f""")
+def substitution_gates(spark: SparkSession, sf: str) -> DataFrame:
+    k, family = F.col("row_idx"), F.col("family")
+    other = F.when(k % 5 == 0, "rod").otherwise(family)
+    pairs = (("gear", "rod"),)
+    fallback = filters.fallback_allowed(F.when(k % 9 == 0, "weakly_compatible").otherwise("compatible"), k % 4 == 0, family, other, ("gizmo",), pairs)
+    return items(spark, sf).select("row_idx", filters.forbidden_substitution(family, other, pairs=pairs).alias("forbidden"), fallback.alias("fallback"))
+
+
+@query("""select o_orderkey, case o_orderkey % 5 when 0 then 'article_resolver' when 1 then 'direct_exact_resolver' when 2 then 'fallback_resolver' when 3 then 'reject_resolver' else '' end as path from orders""")
+def resolver_paths(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey") % 5
+    source = F.when(k == 0, "article_exact").when(k == 1, "name_exact").when(k == 2, "compatible_local_fallback").when(k == 3, "unresolved").otherwise("else")
+    return t(spark, sf, "orders").select("o_orderkey", filters.resolver_path(source).alias("path"))
+
+
+@query(f"""with {_REQUESTS}, d as (select doc_id, text from documents)
+select doc_id, len(list_filter(list_slice(list_filter(w, lambda x: length(x) >= 3), 1, 6), lambda x: contains(text, x))) > 0 as hit from (select doc_id, coalesce(text, '') as text, {_TOKENS("'the with that hein thtion and blees'")} as w from documents)""")
+def token_like_filter(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = text.tokens(F.lit("the with that hein thtion and blees"))
+    return t(spark, sf, "documents").select("doc_id", filters.any_token(tokens, F.coalesce("text", F.lit(""))).alias("hit"))

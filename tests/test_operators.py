@@ -247,3 +247,31 @@ def test_json_list(spark):
     from kordex.operators import proposals as p
 
     assert one(spark, p.json_list(F.col("c")), c='["a"]') == ["a"] and one(spark, p.json_list(F.col("c")), c="oops") == [] and one(spark, p.json_list(F.col("c")), c=None) == []
+
+
+def test_items_from_stored_texts(spark):
+    from kordex.operators import filters
+
+    rows = [("Кабель ВВГ", '["x"]', '{"category": "cat6", "duplex": ""}'), ("Лампа", "oops", None), (None, "[]", "{}")]
+    out = {r[v.NAME]: (r["tokens"], r["markers"]) for r in filters.item_struct(spark.createDataFrame(rows, f"`{v.NAME}` string, search_tokens_json string, search_item_markers_json string")).collect()}
+    assert out == {"Кабель ВВГ": (["x"], {"category": "cat6"}), "Лампа": (["лампа"], {})}
+
+
+def test_gates_and_texts(spark):
+    from kordex.operators import filters
+
+    assert one(spark, filters.forbidden_substitution(F.col("a"), F.col("b")), a="keystone", b="rj45_outlet") is False
+    assert one(spark, filters.forbidden_substitution(F.col("a"), F.col("b")), a="patch_cord", b="bulk_twisted_pair") is True
+    assert one(spark, filters.header_text(F.col("c")), c="Наименование") is True and one(spark, filters.header_text(F.col("c")), c="Кабель") is False
+    assert one(spark, filters.every_group(F.array(F.array(F.lit("3x1.5"), F.lit("3х1,5")), F.array(F.lit("ls"))), F.col("c")), c="ввг 3х1,5 ls") is True
+    assert one(spark, filters.needs_audit(F.col("g"), F.col("s"), F.col("c")), g=None, s="unresolved", c=None) is True
+    assert one(spark, filters.weak_rejected((rules.Family("rack", weak_allowed=True),), F.col("c"), F.lit(None).cast("string")), c="rack") is False
+
+
+def test_dimension_preference_is_soft(spark):
+    from kordex.operators import filters
+
+    df = spark.createDataFrame([(1, 1, "лоток 50x100"), (1, 2, "лоток 60x100"), (2, 3, "без размера")], "query_id long, row_idx long, name string")
+    df = df.withColumns({"query_markers": F.create_map().cast("map<string,string>"), "item_markers": F.create_map().cast("map<string,string>"), "dims": F.array(F.lit("50x100"))})
+    got = filters.prefer(df, [filters.Preference("prefer_dimension_overlap"), filters.Preference("prefer_connector_pair")], F.col("name"), dimensions="dims")
+    assert sorted(r.row_idx for r in got.collect()) == [1, 3]
