@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -64,6 +64,19 @@ def small_or_not(df: DataFrame) -> DataFrame:
     return F.broadcast(cut) if cut.count() <= SMALL_ROWS else cut
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: Column, how: str = "inner") -> DataFrame:
+    """rows joined with a table of unique keys, some of which (hot) very many rows have.
+
+    Hot keys are few for the rows they have: counted to be few, they are broadcast and their rows stay where they are; the
+    others are joined as Spark sees fit. how: inner or left.
+    """
+    cut = checkpointed(table)
+    some = cut.where(hot)
+    large = F.broadcast(some) if some.count() <= SMALL_ROWS else some
+    spread = rows.join(large, key)
+    return spread.unionByName(rows.join(large.select(key), key, "left_anti").join(cut.where(~hot), key, how))
+
+
 def free_name(df_columns: list[str], wanted: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df_columns}
@@ -72,14 +85,27 @@ def free_name(df_columns: list[str], wanted: str) -> str:
     return wanted
 
 
+@functools.cache
+def _c_library():
+    """The C library, told once a process to map arrays of a megabyte or more on their own, so that freeing them gives the memory back."""
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        found.mallopt(-3, 1 << 20)  # the least size that is mapped; else it grows with the arrays that were freed
+        found.mallopt(-1, 8 << 20)  # free memory at the top of the heap beyond which it shrinks
+        return found
+    except (OSError, AttributeError):  # another C library has no such calls
+        return None
+
+
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; when a task has seen them all, its worker, which Spark keeps for later tasks, gives freed memory back."""
+    library = _c_library()
     try:
         yield from batches
     finally:
         pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # another C library has no such call, and nothing to give back
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        if library is not None:
+            library.malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,9 @@ def trained(features: DataFrame, fit: Callable[[list[tuple]], bytes], kind: np.d
             rows += [(o, y, packed[i:j]) for o, y, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends[:-1], ends[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows) if rows else b""], pa.binary())], ["model"])
 
-    one = features.repartition(1).sortWithinPartitions(*features.columns)
+    ord_, label, packed = features.columns  # rows that repeat an id are one
+    once = features.groupBy(ord_, label).agg(F.max(packed).alias(packed))
+    one = once.repartition(1).sortWithinPartitions(ord_, label)
     models = [r[0] for r in one.mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).collect()]
     return max(models, default=b"", key=len)
 
