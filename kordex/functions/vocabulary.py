@@ -43,7 +43,7 @@ SYNONYMS = {
     "cat 5e": "cat5e",
     "кат 5e": "cat5e",
 }
-#: Endings cut once, the first that fits in this order.
+# Endings of words, of which one is cut, the first that fits in this order; the separator of branches and the branch of the rest.
 ENDINGS = ("иями", "ями", "ами", "ого", "ему", "ому", "ыми", "ими", "иях", "ией", "ией", "ий", "ый", "ой", "ая", "ое", "ые", "ие", "ов", "ев", "ам", "ям", "ах", "ях", "ы", "и", "а", "я", "о", "е", "у", "ю")
 BRANCH_SEPARATOR = " > "
 FALLBACK_BRANCH = "прочее"
@@ -63,6 +63,7 @@ KEYWORD_ROUTES = (
     (("розетка",), ("электрика", "розетки"), 3.0),
     (("светильник",), ("свет", "светильники"), 3.0),
 )
+# What a request asks for and the texts that then count against an item; patterns of attributes; words of section rows.
 CONFLICT_RULES = (("zero_u", ("1u",), 0.18), ("rack_1u", ("zero u",), 0.18), ("category_cat6", ("cat5e",), 0.2), ("category_cat5e", ("cat6",), 0.2))
 ATTRIBUTE_PATTERNS = (
     ("category", r"\bcat\s*6a?\b|\bкат\s*6a?\b", "cat6"),

@@ -18,18 +18,18 @@ def header_key(header: str) -> str:
     return tidy(header).lower().replace("ё", "е")
 
 
-_NAME_KEYS, _PRICE_KEYS = {"товар", "product name", "name"}, {"retail price", "price"}
-_ARTICLE_PARTS = ("артикул", "sku", "партномер", "part number", "partnumber", "vendor code")
-_ARTICLE_KEYS = {"код", "код товара", "код номенклатуры", "item code", "product code"}
+# For each canonical column (parts that hint at it, parts that speak against it, whole headers that mean it).
+SIGNS = {
+    v.NAME: (("наименован", "номенклатур"), (), ("товар", "product name", "name")),
+    v.PRICE: (("цена",), ("закуп", "опт"), ("retail price", "price")),
+    v.ARTICLE: (("артикул", "sku", "партномер", "part number", "partnumber", "vendor code"), (), ("код", "код товара", "код номенклатуры", "item code", "product code")),
+}
 
 
 def resembles(canonical: str, key: str) -> bool:
     """Whether a header that is no known alias still means a canonical column."""
-    if canonical == v.NAME:
-        return "наименован" in key or "номенклатур" in key or key in _NAME_KEYS
-    if canonical == v.PRICE:
-        return ("цена" in key and "закуп" not in key and "опт" not in key) or key in _PRICE_KEYS
-    return any(p in key for p in _ARTICLE_PARTS) or key in _ARTICLE_KEYS
+    hints, against, whole = SIGNS[canonical]
+    return key in whole or (any(p in key for p in hints) and not any(p in key for p in against))
 
 
 def plan_headers(columns: list[str]) -> dict[str, list[str]]:
