@@ -99,13 +99,18 @@ def _c_library():
 
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; when a task has seen them all, its worker, which Spark keeps for later tasks, gives freed memory back."""
-    library = _c_library()
+    _c_library()
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        if library is not None:
-            library.malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    if (library := _c_library()) is not None:
+        library.malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import FOLD, SPACED, buffers, mix, words
-from .common import crc_mod, slices, table, written
+from .common import crc_mod, give_back, slices, table, written
 
 DEPTH, SLOT_BITS, BROADCAST_WORDS = 4, 22, 6_000_000
 FOLDS, HELD = 7, 2
@@ -177,6 +177,8 @@ def published(nodes: list[DataFrame]) -> list[tuple]:
         there = np.zeros(slots(depth), bool)
         tag[slot], own[slot], prior[slot], there[slot] = (*(got.column(c).to_numpy() for c in ("tag", "own", "prior")), True)
         made.append((tag, own, prior, np.packbits(there)))
+        del got, slot, there
+        give_back()
     return made[::-1]
 
 
@@ -245,6 +247,7 @@ def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAS
         order = np.argsort(key)
         shared = spark.sparkContext.broadcast((key[order], n[order].astype(np.int32 if n.max(initial=0) < 1 << 31 else np.int64)))
         del got, key, n, order
+        give_back()
     below = float(total + distinct + 1)
     end_log = float(np.log10((ends + 1) / below))
     number = T.LongType()
