@@ -54,7 +54,8 @@ def merge_form(c: Column) -> Column:
 
 
 def tokens(c: Column, stop: Iterable[str] = v.STOP_WORDS, aliases: Mapping[str, str] = v.TERM_ALIASES, synonyms: Mapping[str, str] = v.SYNONYMS) -> Column:
-    found = F.regexp_extract_all(normal(c, aliases, synonyms), F.lit("([a-zа-я0-9]+)"), F.lit(1))
+    # The signs between tokens need not become blanks first: they are in no token.
+    found = F.regexp_extract_all(normal_terms(c, aliases, synonyms), F.lit("([a-zа-я0-9]+)"), F.lit(1))
     return F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*stop))
 
 
