@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard": jaccard.ORACLE,
         "op8_decontam": decontam.ORACLE,
         "op9_warc": warc.ORACLE,
+        "op10_rules": rules.ORACLE,
     }

@@ -144,4 +144,41 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    """The same in DuckDB's SQL."""
+    kept = lambda chars: f"length(regexp_replace(t, '[^{chars}]+', '', 'g'))"
+    sums = lambda name, k, when: "[" + ", ".join(f"sum(case when {when} then {name}[{i + 1}] else 0 end)::double" for i in range(k)) + "]"
+    share = "(x[1] / list_sum({p}))", "(x[2] / list_sum({q}))"
+
+    def distance(p: str, q: str) -> str:
+        a, b = (s.format(p=p, q=q) for s in share)
+        half = lambda v: f"case when {v} > 0 then {v} * log2({v} / (({a} + {b}) / 2)) else 0 end"
+        return f"case when list_sum({p}) > 0 and list_sum({q}) > 0 then sqrt(greatest(0.0, list_sum(list_transform(list_zip({p}, {q}), lambda x: ({half(a)} + {half(b)}) / 2)))) else 0.0 end"
+
+    k = len(_LIST) + 1
+    common = ", ".join(f"len(list_filter(lw, lambda x: x = '{w}'))" for w in _LIST)
+    listed = ", ".join(f"'{w}'" for w in _LIST)
+    beyond = lambda name, limit, slack, least: f"(n_words >= {least} and {name} > {limit} + {slack} / sqrt(greatest(n_words, 1)))"
+    return rf"""
+with d as (select doc_id, lang, coalesce(text, '') as t, row_number() over () as r from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from d),
+win as (select r, i, count(*) over (partition by r, g) as c from (select r, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') as g from (select r, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) as i from w where len(w) >= {WINDOW}))),
+rep as (select r, count(distinct p) as c from (select r, unnest(generate_series(i, i + {WINDOW - 1})) as p from win where c > 1) group by r),
+n as (select w.r, doc_id, lang, len(w)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars, {kept('#*$%&|<>')}::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(rep.c, 0)::bigint as n_repeat_words,
+  {kept('A-Z')} as up, {kept('0-9')} as dg, {kept(".,;:!?''" + '"()' + chr(92) + '-')} as pt, strlen(t) - length(t) as wd, length(t) as ln, list_filter(list_transform(w, lambda x: lower(x)), lambda x: x in ({listed})) as lw from w left join rep using (r)),
+p as (select *, [up, dg, pt, n_symbols, wd, ln - word_chars, greatest(0, word_chars - up - dg - pt - n_symbols - wd)] as chars, [{common}, n_words - len(lw)] as common from n),
+r1 as (select lang as l, {sums('chars', 7, 'true')} as c1, {sums('common', k, 'true')} as w1 from p group by lang),
+m1 as (select p.*, {distance('chars', 'c1')} as cd, {distance('common', 'w1')} as wdist from p join r1 on lang is not distinct from l),
+cut as (select lang as l, quantile_disc(cd, 0.5) as cc, quantile_disc(wdist, 0.5) as cw from m1 group by lang),
+r2 as (select lang as l, {sums('chars', 7, 'cd <= cc')} as c2, {sums('common', k, 'wdist <= cw')} as w2 from m1 join cut on lang is not distinct from l group by lang),
+m2 as (select p.*, {distance('chars', 'c2')} as cd, {distance('common', 'w2')} as wdist, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from p join r2 on lang is not distinct from l)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or {beyond('cd', CHAR_LIMIT, CHAR_SLACK, CHAR_WORDS)} or {beyond('wdist', WORD_LIMIT, WORD_SLACK, WORD_WORDS)}) as kept
+from m2
+"""
+
+
+ORACLE = _oracle()
