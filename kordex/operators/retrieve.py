@@ -20,21 +20,18 @@ def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def postings(queries: DataFrame, items: DataFrame, per_query: int = 8, index_limit: int | None = None) -> DataFrame:
-    """(query_id, row_idx, shared, q_size, i_size): items that share a token with a request.
+def postings(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, row_idx, shared, q_size, i_size): every item that shares a token with a request.
 
-    queries (query_id, tokens) and items (row_idx, tokens). A request looks up its `per_query` rarest tokens only, so
-    frequent tokens, whose lists would be as long as the catalogue, are not joined; sizes give Jaccard exactly.
+    queries (query_id, tokens) and items (row_idx, tokens). All tokens of a request are looked up; what a frequent token
+    joins is counted a pair within each task before it moves, so a pair is at most a row a task. Sizes give Jaccard exactly.
     """
     i = items.select("row_idx", F.array_distinct("tokens").alias("tokens"))
-    index = i.select("row_idx", F.explode("tokens").alias("token"))
-    df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     q = queries.select("query_id", F.array_distinct("tokens").alias("tokens"))
-    known = q.select("query_id", F.explode("tokens").alias("token")).join(df, "token")
-    rare = known.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "token"))).where(F.col("r") <= per_query)
-    met = rare.select("query_id", "token").join(index, "token").select("query_id", "row_idx").distinct()
-    both = met.join(q.withColumnRenamed("tokens", "qt"), "query_id").join(i.withColumnRenamed("tokens", "it"), "row_idx")
-    return both.select("query_id", "row_idx", F.size(F.array_intersect("qt", "it")).alias("shared"), F.size("qt").alias("q_size"), F.size("it").alias("i_size"))
+    index = i.select("row_idx", F.size("tokens").alias("i_size"), F.explode("tokens").alias("token"))
+    asked = q.select("query_id", F.size("tokens").alias("q_size"), F.explode("tokens").alias("token"))
+    counts = asked.join(index, "token").groupBy("query_id", "row_idx").agg(F.count(F.lit(1)).cast("int").alias("shared"), F.max("q_size").alias("q_size"), F.max("i_size").alias("i_size"))
+    return counts.select("query_id", "row_idx", "shared", "q_size", "i_size")
 
 
 def jaccard_of(shared: Column, a: Column, b: Column) -> Column:
