@@ -9,10 +9,10 @@ longest suffix that was. Texts are folded to lower case (A-Z), begin in the cont
 with a zero byte, whose probability counts too.
 
 Only counts are gathered, one row a distinct (DEPTH + 1)-gram and a distinct word for each task, so what
-moves grows with the input but not as fast. Scoring needs the tree on every executor. It is published in
-tables of a fixed number of slots a depth; where nodes collide, the one met most often stays, and a tag
-tells that the others are not there. Word counts of the unigram base are broadcast up to
-BROADCAST_WORDS counted rows; beyond that, documents' words are joined with them.
+moves grows with the input but not as fast. Scoring needs the whole tree: up to BROADCAST_NODES counted nodes
+are broadcast as sorted arrays; beyond that, the distinct grams of the documents are joined with the written
+nodes, and documents with their grams. Word counts of the unigram base are broadcast up to BROADCAST_WORDS
+counted rows; beyond that, documents' words are joined with them.
 
 Defined results: a null or empty text is its end alone; an id that is null splits as an empty text; if
 no training text exists every bit has probability 1/2; repeated rows count and score each; extra
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .bytewords import FOLD, SPACED, buffers, mix, words
 from .common import crc_mod, give_back, slices, table, written
 
-DEPTH, SLOT_BITS, BROADCAST_WORDS = 4, 22, 6_000_000
+DEPTH, BROADCAST_NODES, BROADCAST_WORDS = 4, 6_000_000, 6_000_000
 FOLDS, HELD = 7, 2
 WORD, GRAM, TOTAL = 0, 1, 2
 _STEP = 1500.0  # of a logit in the published tables
@@ -119,19 +119,7 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def slot_of(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and tag of nodes. Depths 0 and 1 have a slot for each possible node."""
-    if depth < 2:
-        return key, np.zeros(len(key), np.int64)
-    h = mix(key.astype(np.uint64))
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.int64)
-
-
-def slots(depth: int) -> int:
-    return 1 << (8 * depth + 8 if depth < 2 else SLOT_BITS)
-
-
-_NODE = "key long, zeros long, ones long, weighted double, slot long, tag int, own int, prior int"
+_NODE = "key long, zeros long, ones long, weighted double, own short, prior short"
 
 
 def _noded(sums: DataFrame, depth: int) -> DataFrame:
@@ -143,10 +131,9 @@ def _noded(sums: DataFrame, depth: int) -> DataFrame:
             own = log_kt(zeros.astype(float), ones.astype(float))
             below = b.column(3).to_numpy(zero_copy_only=False).astype(float) if depth < DEPTH else own
             weighted = np.logaddexp(own, below) - np.log(2) if depth < DEPTH else own
-            slot, tag = slot_of(key, depth)
             logit = np.log((ones + 0.5) / (zeros + 0.5))
-            packed = [np.clip(np.rint(v * _STEP), -32767, 32767).astype(np.int32) for v in (logit, own - below)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, zeros, ones, weighted, slot, tag.astype(np.int32), *packed)], ["key", "zeros", "ones", "weighted", "slot", "tag", "own", "prior"])
+            packed = [np.clip(np.rint(v * _STEP), -32767, 32767).astype(np.int16) for v in (logit, own - below)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, zeros, ones, weighted, *packed)], ["key", "zeros", "ones", "weighted", "own", "prior"])
 
     return sums.select("key", "zeros", "ones", "below").mapInArrow(run, _NODE)
 
@@ -167,17 +154,14 @@ def levels(grams: DataFrame) -> list[DataFrame]:
 
 
 def published(nodes: list[DataFrame]) -> list[tuple]:
-    """Tables of slots, from depth 0 up: bounded by slots(), however large the tree is."""
+    """Every node, from depth 0 up: keys in order, with their estimates and priors."""
     made = []
-    for depth, level in zip(range(DEPTH, -1, -1), nodes, strict=True):
-        best = level.groupBy("slot").agg(F.max(F.struct((F.col("zeros") + F.col("ones")).alias("n"), "tag", "own", "prior")).alias("b"))
-        got = best.select("slot", "b.tag", "b.own", "b.prior").toArrow()
-        slot = got.column("slot").to_numpy()
-        tag, own, prior = np.zeros(slots(depth), np.uint16), np.zeros(slots(depth), np.int16), np.zeros(slots(depth), np.int16)
-        there = np.zeros(slots(depth), bool)
-        tag[slot], own[slot], prior[slot], there[slot] = (*(got.column(c).to_numpy() for c in ("tag", "own", "prior")), True)
-        made.append((tag, own, prior, np.packbits(there)))
-        del got, slot, there
+    for level in nodes:
+        got = level.select("key", "own", "prior").toArrow()
+        key, own, prior = (got.column(c).to_numpy() for c in ("key", "own", "prior"))
+        order = np.argsort(key)
+        made.append((key[order], own[order], prior[order]))
+        del got, key, own, prior, order
         give_back()
     return made[::-1]
 
@@ -196,11 +180,14 @@ class Tree:
         """Probability of a one."""
         p, met = np.full(len(node), 0.5), np.zeros(len(node), bool)
         for depth in range(DEPTH, -1, -1):
-            tag, own, prior, there = self.levels[depth]
-            slot, want = slot_of((context & ((1 << 8 * depth) - 1)) << 8 | node, depth)
-            seen = ((there[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool) & (tag[slot] == want)
-            kt = 1 / (1 + np.exp(-own[slot] / _STEP))
-            w = np.where(met, 1 / (1 + np.exp(-prior[slot] / _STEP)), 1.0)
+            keys, own, prior = self.levels[depth]
+            if not len(keys):
+                continue
+            want = (context & ((1 << 8 * depth) - 1)) << 8 | node
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            seen = keys[at] == want
+            kt = 1 / (1 + np.exp(-own[at] / _STEP))
+            w = np.where(met, 1 / (1 + np.exp(-prior[at] / _STEP)), 1.0)
             p = np.where(seen, w * kt + (1 - w) * p, p)
             met |= seen
         return p
@@ -227,7 +214,30 @@ class Tree:
         return out
 
 
-def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def tallied(keys: np.ndarray, offs: np.ndarray) -> list[pa.Array]:
+    """For each row its distinct keys, and how often it has each."""
+    each = [np.unique(keys[a:b], return_counts=True) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    return [pa.array([k for k, _ in each], pa.list_(pa.int64())), pa.array([n for _, n in each], pa.list_(pa.int64()))]
+
+
+def joined_logs(grams: DataFrame, nodes: list[DataFrame]) -> DataFrame:
+    """(key) of distinct grams -> (key, log): what Tree.logs gives, by joins with the nodes of each depth."""
+    bits = F.explode(F.array(*[F.struct(F.expr(f"shiftright(key, {7 - k}) & 1").alias("bit"), F.expr(f"(shiftright(key, 8) << 8) | {1 << k} | shiftright(key & 255, {8 - k})").alias("node")) for k in range(8)]))
+    split = grams.select("key", bits.alias("b")).select("key", "b.bit", "b.node")
+    p, met = F.lit(0.5), F.lit(False)
+    asked = split.select("node").distinct()
+    logistic = lambda c: 1 / (1 + F.exp(-F.col(c) / F.lit(_STEP)))
+    for depth, level in zip(range(DEPTH, -1, -1), nodes, strict=True):
+        have = level.select(F.col("key").alias("at"), F.col("own").alias(f"own{depth}"), F.col("prior").alias(f"prior{depth}"))
+        asked = asked.join(have, F.expr(f"node & {(1 << 8 * depth + 8) - 1}L") == F.col("at"), "left").drop("at")
+        seen, w = F.col(f"own{depth}").isNotNull(), F.when(met, logistic(f"prior{depth}")).otherwise(1.0)
+        asked = asked.withColumn("p", F.when(seen, w * logistic(f"own{depth}") + (1 - w) * p).otherwise(p)).withColumn("met", met | seen).drop(f"own{depth}", f"prior{depth}")
+        p, met = F.col("p"), F.col("met")
+    one = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    return split.join(asked.select("node", "p"), "node").groupBy("key").agg(F.sum(one).alias("log"))
+
+
+def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAST_WORDS, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """docs (its first two columns: an id and a text) -> the id, n_tokens, n_known, train_tokens, n_bytes, base_score, score.
 
     counts: counted() of the training texts, as a written table.
@@ -237,7 +247,9 @@ def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAS
     ends = told.get(TOTAL, (0, 0))[1]
     distinct = told.get(WORD, (0, 0))[0] + (ends > 0)
     total = told.get(WORD, (0, 0))[1] + ends
-    tree = spark.sparkContext.broadcast(published(levels(counts.where(F.col("kind") == GRAM).select("key", "n"))))
+    nodes = levels(counts.where(F.col("kind") == GRAM).select("key", "n"))
+    held = sum(level.count() for level in nodes) <= broadcast_nodes
+    tree = spark.sparkContext.broadcast(published(nodes)) if held else None
     vocabulary = counts.where(F.col("kind") == WORD).select("key", "n")
     near = told.get(WORD, (0, 0))[0] <= broadcast_words
     shared = None
@@ -252,15 +264,15 @@ def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAS
     end_log = float(np.log10((ends + 1) / below))
     number = T.LongType()
     fields = [kept, T.StructField("n_tokens", number), T.StructField("n_known", number), T.StructField("train_tokens", number), T.StructField("n_bytes", number), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    listed = [T.StructField("words", T.ArrayType(number)), T.StructField("times", T.ArrayType(number))]
+    listed = [T.StructField(c, T.ArrayType(number)) for c in (() if near else ("words", "times")) + (() if held else ("grams", "often"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Tree(tree.value)
+        model = Tree(tree.value) if held else None
         known = shared.value if near else None
         for part in slices(batches, 1):
             data, offs = buffers(part.column(1))
             code, begin = grams_of(data, offs)
-            scored = np.add.reduceat(model.logs(code), begin[:-1])
+            scored = np.add.reduceat(model.logs(code), begin[:-1]) if held else np.zeros(part.num_rows)
             _, _, h, of = words(data, offs, SPACED, FOLD)
             h, rows = h.view(np.int64), part.num_rows
             row = np.repeat(np.arange(rows), np.diff(of))
@@ -275,19 +287,26 @@ def score(docs: DataFrame, counts: DataFrame, *, broadcast_words: int = BROADCAS
                 hits = hits + np.bincount(row, c > 0, rows).astype(np.int64)
                 base = base + np.bincount(row, np.log10((c + 1.0) / below), rows)
             else:
-                each = [np.unique(h[a:b], return_counts=True) for a, b in zip(of[:-1], of[1:], strict=True)]
-                lists = [pa.array([k for k, _ in each], pa.list_(pa.int64())), pa.array([n for _, n in each], pa.list_(pa.int64()))]
+                lists += tallied(h, of)
+            if not held:
+                lists += tallied(code, begin)
             cols += [pa.array(hits, pa.int64()), pa.array(np.full(rows, total, np.int64)), pa.array(np.diff(offs)), pa.array(base), pa.array(scored)]
-            yield pa.RecordBatch.from_arrays(cols + lists, [f.name for f in fields + (listed if lists else [])])
+            yield pa.RecordBatch.from_arrays(cols + lists, [f.name for f in fields + listed])
 
-    if near:
+    if near and held:
         return docs.mapInArrow(run, T.StructType(fields))
-    whole = written(docs.mapInArrow(run, T.StructType(fields + listed)).withColumn("row", F.monotonically_increasing_id()), "ctw_words")
-    each = whole.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("key"), F.col("w.times").alias("times"))
-    met = each.join(vocabulary, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(below))).alias("b"))
-    both = whole.drop("words", "times").join(sums, "row", "left")
-    plus = {"n_known": F.col("n_known") + F.coalesce("k", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("b", F.lit(0.0))}
+    whole = written(docs.mapInArrow(run, T.StructType(fields + listed)).withColumn("row", F.monotonically_increasing_id()), "ctw_lists")
+    both, plus = whole.drop(*[f.name for f in listed]), {}
+    if not near:
+        each = whole.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("key"), F.col("w.times").alias("times"))
+        met = each.join(vocabulary, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+        both = both.join(met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(below))).alias("b")), "row", "left")
+        plus |= {"n_known": F.col("n_known") + F.coalesce("k", F.lit(0)), "base_score": F.col("base_score") + F.coalesce("b", F.lit(0.0))}
+    if not held:
+        each = whole.select("row", F.explode(F.arrays_zip("grams", "often")).alias("g")).select("row", F.col("g.grams").alias("key"), F.col("g.often").alias("often"))
+        logs = written(joined_logs(each.select("key").distinct(), nodes), "ctw_logs")
+        both = both.join(each.join(logs, "key").groupBy("row").agg(F.sum(F.col("often") * F.col("log")).alias("s")), "row", "left")
+        plus["score"] = F.col("score") + F.coalesce("s", F.lit(0.0))
     return both.select(*[plus[f.name].alias(f.name) if f.name in plus else F.col(f.name) for f in fields])
 
 
