@@ -3,9 +3,12 @@
 Runs of encoded-looking characters get an encoding (the smallest of some alphabets that holds them) and
 become numbers. Three tests ask whether they look drawn at random from that alphabet: chi-squared over
 eight equal parts of the alphabet, Wald-Wolfowitz runs about the middle, and lag-one serial correlation.
-A run that fails one (Bonferroni) is ordinary text. For the rest, the probability that ordinary text of
-that length looks as uniform (a non-central chi-squared, so it falls with the length) goes through
-the Benjamini-Hochberg procedure over the runs of the document, which bounds the share of false finds.
+A run that fails one (Bonferroni) is ordinary text. For the rest, the likelihood of the run as ordinary text
+(a chain of lower case, capitals, digits and signs, with common and rare letters; text all in capitals as if in lower case) over that of a uniform
+draw bounds the probability that ordinary text looks as random, and falls with the length. It goes through
+the Benjamini-Hochberg procedure over the tested runs of the document, which bounds the share of false finds.
+Plain numbers and runs of signs are not tested. A run that fits no encoding is tested in pieces, between
+the signs of one alphabet and between those of the other.
 
 Defined results: a null or empty text has no spans (empty strings, zero counts, the hash of the empty
 text); spans are in code points, end exclusive; a run that a pattern already covers is not reported
@@ -34,15 +37,21 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: Runs of fewer characters say too little; level of the battery; share of false finds; per-character
-#: divergence from uniform (over eight parts) that ordinary text has at least; parts of the alphabet.
-LEAST_RANDOM, LEVEL, FALSE_SHARE, ORDINARY, PARTS = 20, 0.01, 0.01, 1.0, 8
+#: Runs of fewer characters say too little; level of the battery; share of false finds; parts of the alphabet.
+LEAST_RANDOM, LEVEL, FALSE_SHARE, PARTS = 20, 0.01, 0.01, 8
 
 _UP, _LOW, _NUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (("hex", _NUM + "abcdef"), ("HEX", _NUM + "ABCDEF"), ("base32", _UP + "234567"), ("base36", _NUM + _LOW), ("base64", _UP + _LOW + _NUM + "+/"), ("base64url", _UP + _LOW + _NUM + "-_"))
 _VALUES = [(name, {c: i for i, c in enumerate(chars)}, frozenset(chars)) for name, chars in ENCODINGS]
 
 
+#: Ordinary text: which class (lower case, capital, digit, sign) begins it and follows which, and the share of each sign in its class.
+_CLASS = {c: k for k, chars in enumerate((_LOW, _UP, _NUM, "+/-_")) for c in chars}
+_BEGINS = np.log([0.5, 0.3, 0.15, 0.05])
+_FOLLOWS = np.log([[0.85, 0.04, 0.03, 0.08], [0.45, 0.42, 0.05, 0.08], [0.06, 0.05, 0.77, 0.12], [0.5, 0.25, 0.2, 0.05]])
+_SHARE = {c: math.log(0.8 / 12 if c.lower() in "etaoinshrdlu" else 0.2 / 14) for c in _LOW + _UP} | {c: math.log(0.1) for c in _NUM} | {c: math.log(0.5) for c in "+/-_"}
+
+
 def _bytes_in(chars: str) -> np.ndarray:
     m = np.zeros(256, dtype=bool)
     m[list(chars.encode())] = True
@@ -54,9 +63,9 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 
 
 def infer(run: str) -> tuple[str, np.ndarray, int] | None:
-    """(encoding, values, size of its alphabet), or None for no encoding and for plain numbers."""
+    """(encoding, values, size of its alphabet), or None for no encoding, for plain numbers and for signs alone."""
     seen = set(run)
-    if seen <= set(_NUM):
+    if seen <= set(_NUM + "+/-_"):
         return None
     for name, values, chars in _VALUES:
         if seen <= chars:
@@ -87,25 +96,45 @@ def battery(x: np.ndarray, size: int) -> tuple[float, float, float, float]:
     return chi2, uniform, by_runs, serial
 
 
-def ordinary(chi2: float, n: int) -> float:
-    """Probability that ordinary text of n characters is as uniform as this."""
-    df = PARTS - 1
-    mean, var = df + n * ORDINARY, 2 * (df + 2 * n * ORDINARY)
-    return 0.5 * math.erfc((mean - chi2) / math.sqrt(2 * var))
+def ordinary(run: str, size: int) -> float:
+    """Bound on the probability that ordinary text looks as drawn from an alphabet of this size: the ratio of its likelihoods."""
+    kinds = np.array([_CLASS[c] for c in (run.lower() if run.isupper() else run)])
+    told = _BEGINS[kinds[0]] + _FOLLOWS[kinds[:-1], kinds[1:]].sum() + sum(_SHARE[c] for c in run)
+    return math.exp(min(0.0, told + len(run) * math.log(size)))
 
 
-def discoveries(runs: list[str]) -> list[int]:
-    """Which runs of a document are random: those that pass the battery and then the false-discovery control."""
-    left = []
+def pieces(run: str) -> list[tuple[int, int]]:
+    """The parts of a run to test: all of it, or, if it mixes signs of two alphabets, what is long enough between either's."""
+    signs = set(run) - set(_UP + _LOW + _NUM)
+    if not (signs & set("+/") and signs & set("-_")):
+        return [(0, len(run))]
+    return sorted({m.span() for at in (r"[^+/]+", r"[^_-]+") for m in re.finditer(at, run) if m.end() - m.start() >= LEAST_RANDOM})
+
+
+def random_spans(runs: list[str]) -> list[tuple[int, int, int]]:
+    """(number of the run, start, end) of the random parts of a document's runs: those that pass the battery and then the
+    false-discovery control over all that were tested. Of parts that overlap the likelier one is told."""
+    left, tested = [], 0
     for i, run in enumerate(runs):
-        if (found := infer(run)) is None:
-            continue
-        chi2, *p = battery(found[1], found[2])
-        if 3 * min(p) >= LEVEL:
-            left.append((ordinary(chi2, len(run)), i))
+        for a, b in pieces(run):
+            if (found := infer(run[a:b])) is None:
+                continue
+            tested += 1
+            if 3 * min(battery(found[1], found[2])[1:]) >= LEVEL:
+                left.append((ordinary(run[a:b], found[2]), i, a, b))
     left.sort()
-    taken = max((k + 1 for k, (p, _) in enumerate(left) if p <= FALSE_SHARE * (k + 1) / len(runs)), default=0)
-    return sorted(i for _, i in left[:taken])
+    taken = max((k + 1 for k, (p, *_) in enumerate(left) if p <= FALSE_SHARE * (k + 1) / tested), default=0)
+    kept: dict[int, list[tuple[int, int]]] = {}
+    for _, i, a, b in left[:taken]:
+        own = kept.setdefault(i, [])
+        if not any(x < b and a < y for x, y in own):
+            own.append((a, b))
+    return sorted((i, a, b) for i, own in kept.items() for a, b in own)
+
+
+def discoveries(runs: list[str]) -> list[int]:
+    """Which runs of a document are random, or hold a random part."""
+    return sorted({i for i, _, _ in random_spans(runs)})
 
 
 def base_spans(text: str, hexes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -149,7 +178,7 @@ def scan(texts: pa.Array) -> list[list[tuple[int, int, int]]]:
         found = base_spans(text, shifted(hexes))
         covered = sorted((a, b) for a, b, _ in found)
         free = [(a, b) for a, b in shifted(runs) if not any(x < b and a < y for x, y in covered)] if len(covered) < 8 else _free(shifted(runs), covered)
-        found += [(*free[i], 3) for i in discoveries([text[a:b] for a, b in free])]
+        found += [(free[i][0] + a, free[i][0] + b, 3) for i, a, b in random_spans([text[a:b] for a, b in free])]
         out[row] = sorted(found, key=lambda s: (s[0], s[2]))
     return out
 
