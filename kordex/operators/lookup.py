@@ -28,19 +28,19 @@ def unique_article(queries: DataFrame, items: DataFrame, query_article: Column,
     return queries.select("query_id", text.article_key(query_article).alias("k")).join(one, "k").select("query_id", "row_idx")
 
 
-def article_series(queries: DataFrame, items: DataFrame, query_article: Column, item_article: Column, least: int = 5, limit: int = 40) -> DataFrame:
-    """(query_id, row_idx): up to limit items whose compact article goes on from the request's.
+def article_series(queries: DataFrame, items: DataFrame, query_article: Column, item_article: Column, least: int = 5, limit: int | None = 40) -> DataFrame:
+    """(query_id, row_idx): up to limit items (None: all) whose compact article goes on from the request's.
 
     The join key is the first `least` characters that both share; the rest of the prefix is the residual.
     """
     q = queries.select("query_id", text.article_compact(query_article).alias("q")).where(F.length("q") >= least)
     i = items.select("row_idx", text.article_compact(item_article).alias("i")).where(F.length("i") > least)
     met = q.withColumn("k", F.substring("q", 1, least)).join(i.withColumn("k", F.substring("i", 1, least)), "k").where(F.startswith("i", F.col("q")) & (F.length("i") > F.length("q")))
-    return first_by(met, "query_id", F.col("row_idx"), k=limit).select("query_id", "row_idx")
+    return (met if limit is None else first_by(met, "query_id", F.col("row_idx"), k=limit)).select("query_id", "row_idx")
 
 
-def article_typo(queries: DataFrame, items: DataFrame, query_article: Column, item_article: Column, limit: int = 10) -> DataFrame:
-    """(query_id, row_idx, score): items that differ from the request's article in one digit among its last two signs."""
+def article_typo(queries: DataFrame, items: DataFrame, query_article: Column, item_article: Column, limit: int | None = 10) -> DataFrame:
+    """(query_id, row_idx, score): up to limit items (None: all) that differ from the request's article in one digit among its last two signs."""
     def keyed(c: str) -> Column:
         return F.struct(F.length(c), F.substring(F.col(c), F.lit(1), F.greatest(F.lit(4), F.length(c) - 2)))
 
@@ -48,7 +48,7 @@ def article_typo(queries: DataFrame, items: DataFrame, query_article: Column, it
     i = items.select("row_idx", text.article_compact(item_article).alias("i")).where("length(i) >= 6").withColumn("k", keyed("i"))
     met = q.join(i, "k").where(similarity.single_digit_typo(F.col("q"), F.col("i")))
     scored = met.withColumn("score", similarity.article_affinity(F.col("q"), F.col("i")))
-    return first_by(scored, "query_id", F.desc("score"), F.col("row_idx"), k=limit).select("query_id", "row_idx", "score")
+    return (scored if limit is None else first_by(scored, "query_id", F.desc("score"), F.col("row_idx"), k=limit)).select("query_id", "row_idx", "score")
 
 
 def affinity_terms(compact: Column) -> Column:

@@ -5,45 +5,95 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import similarity, text
 from ..functions import vocabulary as v
-from ..operators import decide, lookup, retrieve
+from ..operators import decide, filters, lookup, retrieve, rules
 
 LANES = (("article_exact", 1.0), ("name_exact", 1.0), ("normalized_name_exact", 0.98), ("article_series_local", 0.985), ("article_typo_local", 0.955))
 
+#: Markers whose unlike values rule an item out, in order, with the code of the reason.
+HARD = (
+    ("connector_pair", "connector_mismatch"), ("category", "category_mismatch"), ("shielding", "shielding_mismatch"), ("port_count", "port_count_mismatch"), ("cable_environment", "cable_environment_mismatch"),
+    ("designation_family", "designation_family_mismatch"), ("sensor_kind", "sensor_type_mismatch"), ("fiber_mode", "optical_marker_mismatch"),
+)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, so that plans do not repeat it in each lane that reads it."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
+
+
+def judged(found: DataFrame, asked: DataFrame, offered: DataFrame, by_article: bool = False) -> DataFrame:
+    """found (query_id, row_idx, score) without incompatible items, with the penalty of the others.
+
+    asked (query_id, qm, qd) and offered (row_idx, im, idm) have markers and dimensions. An article's find must also share dimensions.
+    """
+    both = found.join(asked.select("query_id", "qm", "qd"), "query_id").join(offered.select("row_idx", "im", "idm"), "row_idx")
+    reason = filters.hard_incompatibility(F.col("qm"), F.col("im"), HARD)
+    if by_article:
+        reason = F.when(reason != "", reason).otherwise(decide.dimension_mismatch("qd", "idm"))
+    kept = both.where(reason == "").withColumn("penalty", retrieve.penalty(F.col("qm"), F.col("im")))
+    return kept.select("query_id", "row_idx", "score", "penalty")
+
+
+def fittest(found: DataFrame) -> DataFrame:
+    """One row a request: the least penalty, then the best score, then the first item."""
+    rest = ("row_idx", "score", "penalty")
+    order = F.struct("penalty", (-F.col("score")).alias("s"), "row_idx")
+    return found.groupBy("query_id").agg(F.min_by(F.struct(*rest), order).alias("b")).select("query_id", "b.*")
+
 
 def match(queries: DataFrame, items: DataFrame, shortlist: int = 96) -> DataFrame:
-    """queries (query_id, text, article) and items (row_idx, name, article, branch_path, tokens, markers) -> a row a request.
+    """queries (query_id, text, article) and items (row_idx, name, article, branch_path, tokens, markers if stored) -> a row a request.
 
     The exact lanes are equi-joins over all requests; similarity, the dear lane, only sees requests they left open. Lanes
-    are cut by a ladder that keeps one row a request in a partial aggregate.
+    are cut by a ladder that keeps one row a request in a partial aggregate. Every lane's candidates are judged before that:
+    incompatible ones go, and what is left has its label by the penalty.
     """
-    q = queries.withColumns({"kind": text.row_type(F.col("text")), "tokens": text.token_set(F.col("text"))})
+    q = queries.withColumns({"kind": text.row_type(F.col("text")), "tokens": text.token_set(F.col("text")), "qm": rules.markers(F.col("text")), "qd": similarity.dimension_signatures(F.col("text"))})
+    q = cut(q)
+    derived = rules.markers(F.col("name"))
+    offered = items.withColumns({"im": F.coalesce(F.col("markers"), derived) if "markers" in items.columns else derived, "idm": similarity.dimension_signatures(F.col("name"))})
+    offered = cut(offered)
+    items = offered
     asked = q.where("kind = 'item'")
-    scored = lambda df, s: df.withColumn("score", F.lit(s))
-    first = lambda df, key, other: lookup.exact_first(df, items, key, other)
+    article = F.col("article")
+
+    def lane(found: DataFrame, score: float, by_article: bool = False) -> DataFrame:
+        ranked = found if "score" in found.columns else found.withColumn("score", F.lit(score))
+        return fittest(judged(ranked, asked, offered, by_article)).withColumn("score", F.lit(score))
+
+    def named(query_key, item_key) -> DataFrame:
+        """The first item of each name and each set of markers: the others with that name would be judged alike."""
+        one = offered.withColumns({"k": item_key, "m": F.array_sort(F.map_entries("im"))}).where("k <> ''").groupBy("k", "m").agg(F.min("row_idx").alias("row_idx"))
+        return asked.select("query_id", query_key.alias("k")).join(one, "k")
+
     lanes = [
-        ("article_exact", scored(lookup.unique_article(asked, items, F.col("article"), F.col("article")), 1.0)),
-        ("name_exact", scored(first(asked, F.lower(text.clean(F.col("text"))), F.lower(text.clean(F.col("name")))), 1.0)),
-        ("normalized_name_exact", scored(first(asked, text.normal(F.col("text")), text.normal(F.col("name"))), 0.98)),
-        ("article_series_local", scored(lookup.article_series(asked, items, F.col("article"), F.col("article"), limit=1), 0.985)),
-        ("article_typo_local", scored(lookup.article_typo(asked, items, F.col("article"), F.col("article"), limit=1), 0.955)),
+        ("article_exact", lane(lookup.unique_article(asked, items, article, article), 1.0, True)),
+        ("name_exact", lane(named(F.lower(text.clean(F.col("text"))), F.lower(text.clean(F.col("name")))), 1.0)),
+        ("normalized_name_exact", lane(named(text.normal(F.col("text")), text.normal(F.col("name"))), 0.98)),
+        ("article_series_local", lane(lookup.article_series(asked, items, article, article, limit=None), 0.985, True)),
+        ("article_typo_local", lane(lookup.article_typo(asked, items, article, article, limit=None), 0.955, True)),
     ]
-    exact = decide.ladder(lanes)
-    left = decide.unresolved(asked, exact)
+    exact = cut(decide.ladder([(name, cut(found)) for name, found in lanes]))
+    left = cut(decide.unresolved(asked, exact))
     met = retrieve.postings(left, items)
     near = met.withColumn("score", F.lit(v.JACCARD_WEIGHT) * retrieve.jaccard_of(F.col("shared"), F.col("q_size"), F.col("i_size")))
+    near = judged(near, left, offered)
     top = retrieve.top_k(near, shortlist).join(items.select("row_idx", "name"), "row_idx").join(left.select("query_id", "text"), "query_id")
-    local = retrieve.lexical_score(top, F.col("text"), F.col("name")).select("query_id", "row_idx", F.col("lexical").alias("score"))
-    ranked = retrieve.top_k(local, 2)
+    local = retrieve.lexical_score(top, F.col("text"), F.col("name")).select("query_id", "row_idx", F.col("lexical").alias("score"), "penalty")
+    ranked = cut(retrieve.top_k(local, 2))
     margin = retrieve.best_and_margin(ranked)
-    chosen = ranked.where("rank = 1").select("query_id", "row_idx", "score").join(margin.select("query_id", "margin"), "query_id")
+    chosen = ranked.where("rank = 1").select("query_id", "row_idx", "score", "penalty").join(margin.select("query_id", "margin"), "query_id")
     strong = (F.col("score") >= v.CONFIDENT) & (F.col("margin") >= v.MARGIN)
     similar = chosen.withColumn("lane", F.when(strong, "local_tree").otherwise("compatible_local_fallback")).withColumn("ordinal", F.lit(len(lanes)))
     found = exact.unionByName(similar.drop("margin"), allowMissingColumns=True)
     results = q.join(found, "query_id", "left").join(items.select("row_idx", F.col("name").alias("found_name"), F.col("article").alias("found_article"), "branch_path"), "row_idx", "left")
     source = F.coalesce(F.col("lane"), F.lit("unresolved"))
-    status = F.when(F.col("row_idx").isNull(), "unresolved_no_compatible_candidates").otherwise("compatible")
+    status = F.when(F.col("row_idx").isNull(), "unresolved_no_compatible_candidates").otherwise(retrieve.compatibility(F.lit(""), F.col("penalty")))
     review = ~source.isin(*v.AUTO_ACCEPT_SOURCES)
     decision, reason = decide.verifier(F.col("kind"), status, source, review)
     return results.select(
