@@ -28,14 +28,21 @@ def unique_article(queries: DataFrame, items: DataFrame, query_article: Column,
     return queries.select("query_id", text.article_key(query_article).alias("k")).join(one, "k").select("query_id", "row_idx")
 
 
+def beginnings(items: DataFrame, c: str, least: int, own: bool) -> DataFrame:
+    """items once for each beginning (k) of column c that has `least` characters or more; own: the whole text is one too."""
+    end = F.length(c) - (0 if own else 1)
+    return items.where(end >= least).withColumn("n", F.explode(F.sequence(F.lit(least), end))).withColumn("k", F.substring(F.col(c), F.lit(1), F.col("n"))).drop("n")
+
+
 def article_series(queries: DataFrame, items: DataFrame, query_article: Column, item_article: Column, least: int = 5, limit: int | None = 40) -> DataFrame:
     """(query_id, row_idx): up to limit items (None: all) whose compact article goes on from the request's.
 
-    The join key is the first `least` characters that both share; the rest of the prefix is the residual.
+    Items offer each beginning of `least` characters or more as a key, which must equal the request's whole article:
+    an item has as many rows as its article is longer, and a key meets its true matches only.
     """
-    q = queries.select("query_id", text.article_compact(query_article).alias("q")).where(F.length("q") >= least)
-    i = items.select("row_idx", text.article_compact(item_article).alias("i")).where(F.length("i") > least)
-    met = q.withColumn("k", F.substring("q", 1, least)).join(i.withColumn("k", F.substring("i", 1, least)), "k").where(F.startswith("i", F.col("q")) & (F.length("i") > F.length("q")))
+    q = queries.select("query_id", text.article_compact(query_article).alias("k")).where(F.length("k") >= least)
+    i = items.select("row_idx", text.article_compact(item_article).alias("i"))
+    met = q.join(beginnings(i, "i", least, own=False), "k")
     return (met if limit is None else first_by(met, "query_id", F.col("row_idx"), k=limit)).select("query_id", "row_idx")
 
 
@@ -60,9 +67,9 @@ def affinity_terms(compact: Column) -> Column:
 
 def article_affinity(queries: DataFrame, items: DataFrame, query_article: Column, item_article: Column, least: float = 0.45, limit: int = 20) -> DataFrame:
     """(query_id, row_idx, score): items that begin with a term of the request's article and resemble it enough."""
-    q = queries.select("query_id", text.article_compact(query_article).alias("q")).where("length(q) >= 4").withColumn("t", F.explode(affinity_terms(F.col("q"))))
-    i = items.select("row_idx", text.article_compact(item_article).alias("i")).where("length(i) >= 4")
-    met = q.withColumn("k", F.substring("t", 1, 4)).join(i.withColumn("k", F.substring("i", 1, 4)), "k").where(F.startswith("i", F.col("t"))).select("query_id", "row_idx", "q", "i").distinct()
+    q = queries.select("query_id", text.article_compact(query_article).alias("q")).where("length(q) >= 4").withColumn("k", F.explode(affinity_terms(F.col("q"))))
+    i = items.select("row_idx", text.article_compact(item_article).alias("i"))
+    met = q.join(beginnings(i, "i", 4, own=True), "k").select("query_id", "row_idx", "q", "i").distinct()
     scored = met.withColumn("score", similarity.article_affinity(F.col("q"), F.col("i"))).where(F.col("score") >= least)
     return first_by(scored, "query_id", F.desc("score"), F.col("row_idx"), k=limit).select("query_id", "row_idx", "score")
 

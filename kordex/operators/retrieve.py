@@ -12,25 +12,32 @@ from ..functions import vocabulary as v
 def token_idf(items: DataFrame, tokens: Column) -> DataFrame:
     """(token, df, idf): ln((1 + N) / (1 + df)) + 1."""
     total = items.agg(F.count(F.lit(1)).alias("n"))
-    df = items.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    df = items.select(F.explode_outer(F.array_distinct(tokens)).alias("token")).where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(total)).select("token", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(F.explode_outer(tokens).alias("token")).where("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_sets(df: DataFrame, key: str, size: str) -> DataFrame:
+    """(key, size, token): the distinct tokens of each row of df (key, tokens); a row without any has a null one.
+
+    An outer explode, since Spark makes a filter of the other kind that computes the tokens once more.
+    """
+    return df.select(key, F.size("tokens").alias(size), F.explode_outer("tokens").alias("token"))
 
 
 def postings(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, row_idx, shared, q_size, i_size): every item that shares a token with a request.
 
-    queries (query_id, tokens) and items (row_idx, tokens). All tokens of a request are looked up; what a frequent token
-    joins is counted a pair within each task before it moves, so a pair is at most a row a task. Sizes give Jaccard exactly.
+    queries (query_id, tokens) and items (row_idx, tokens). All tokens of a request are looked up. Items are dealt by row_idx
+    before their tokens are looked up, so all hits of a pair meet where the item is: if the requests are small
+    enough for Spark to broadcast, no pair moves, only each item's tokens, once. Sizes give Jaccard exactly.
     """
-    i = items.select("row_idx", F.array_distinct("tokens").alias("tokens"))
-    q = queries.select("query_id", F.array_distinct("tokens").alias("tokens"))
-    index = i.select("row_idx", F.size("tokens").alias("i_size"), F.explode("tokens").alias("token"))
-    asked = q.select("query_id", F.size("tokens").alias("q_size"), F.explode("tokens").alias("token"))
-    counts = asked.join(index, "token").groupBy("query_id", "row_idx").agg(F.count(F.lit(1)).cast("int").alias("shared"), F.max("q_size").alias("q_size"), F.max("i_size").alias("i_size"))
+    index = token_sets(items.select("row_idx", F.array_distinct("tokens").alias("tokens")).repartition("row_idx"), "row_idx", "i_size")
+    asked = token_sets(queries.select("query_id", F.array_distinct("tokens").alias("tokens")), "query_id", "q_size")
+    counts = index.join(asked, "token").groupBy("row_idx", "query_id").agg(F.count(F.lit(1)).cast("int").alias("shared"), F.max("q_size").alias("q_size"), F.max("i_size").alias("i_size"))
     return counts.select("query_id", "row_idx", "shared", "q_size", "i_size")
 
 

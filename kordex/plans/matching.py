@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
@@ -83,7 +83,10 @@ def match(queries: DataFrame, items: DataFrame, shortlist: int = 96) -> DataFram
     met = retrieve.postings(left, items)
     near = met.withColumn("score", F.lit(v.JACCARD_WEIGHT) * retrieve.jaccard_of(F.col("shared"), F.col("q_size"), F.col("i_size")))
     near = judged(near, left, offered)
-    top = retrieve.top_k(near, shortlist).join(items.select("row_idx", "name"), "row_idx").join(left.select("query_id", "text"), "query_id")
+    # A ratio adds a quarter at most: what cannot reach the second best by its tokens alone is not compared in Python.
+    second = F.max(F.when(F.col("rank") == 2, F.col("score"))).over(Window.partitionBy("query_id"))
+    able = retrieve.top_k(near, shortlist).withColumn("second", F.coalesce(second, F.lit(0.0))).where(F.col("score") + v.RATIO_WEIGHT >= F.col("second")).drop("second")
+    top = able.join(items.select("row_idx", "name"), "row_idx").join(left.select("query_id", "text"), "query_id")
     local = retrieve.lexical_score(top, F.col("text"), F.col("name")).select("query_id", "row_idx", F.col("lexical").alias("score"), "penalty")
     ranked = cut(retrieve.top_k(local, 2))
     margin = retrieve.best_and_margin(ranked)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 from ..functions import vocabulary as v
 from ..operators import audit, clean, decide, filters, lookup, merge, proposals, retrieve, rules, taxonomy
+from ..sources import tables
 from . import catalogue, matching
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,8 @@ def query(sql: str | None = None):
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    read = spark.read.parquet(f"{sf}/{name}.parquet")
+    return tables.spread(read, "doc_id") if name == "documents" else read
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,24 +309,38 @@ def article_series_join(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.article_series(_asks(spark, sf), items(spark, sf), F.col("cut"), F.col("article"))
 
 
-@query(f"""with {_ASKS}, q as (select query_id, {_COMPACT('typo')} as q from asks), i as (select row_idx, {_COMPACT('article')} as i from items)
-select query_id, row_idx from q join i on length(q) = length(i) and substr(q, 1, greatest(4, length(q) - 2)) = substr(i, 1, greatest(4, length(i) - 2))
+# How much one compact article resembles another, and the sums it is made of.
+_BLOCKS = lambda c, p: f"list_filter(regexp_extract_all({c}, '([0-9]+|[a-zа-я]+)'), lambda x: regexp_matches(x, '{p}'))"
+_SAME = "coalesce(list_max(list_filter(generate_series(1, least(length(q), length(i))), lambda n: left(q, n) = left(i, n))), 0)"
+_AFFINITY = f"""case when length(q) < 4 or length(i) < 4 then 0.0 when q = i then 1.0 else least(0.999::double, case when starts_with(i, q) then 0.7::double when starts_with(q, i) then 0.5::double else 0.0::double end
+  + case when {_SAME} >= 4 then least(0.2::double, 0.2::double * {_SAME} / greatest(length(q), length(i))) else 0.0::double end
+  + coalesce(0.15::double * list_sum(list_transform(list_filter({_BLOCKS('q', '^[0-9]{3,}$')}, lambda x: contains(i, x)), lambda x: length(x))) / list_sum(list_transform({_BLOCKS('q', '^[0-9]{3,}$')}, lambda x: length(x))), 0.0::double)
+  + coalesce(0.1::double * len(list_filter({_BLOCKS('q', '^[^0-9]+$')}, lambda x: contains(i, x))) / nullif(len({_BLOCKS('q', '^[^0-9]+$')}), 0), 0.0::double)) end"""
+
+
+@query(f"""with {_ASKS}, q as (select query_id, {_COMPACT('typo')} as q from asks), i as (select row_idx, {_COMPACT('article')} as i from items),
+found as (select query_id, row_idx, {_AFFINITY} as score from q join i on length(q) = length(i) and substr(q, 1, greatest(4, length(q) - 2)) = substr(i, 1, greatest(4, length(i) - 2))
 where length(q) >= 6 and len(list_filter(list_zip(string_split(q, ''), string_split(i, '')), lambda x: x[1] <> x[2])) = 1
-  and len(list_filter(list_zip(string_split(q, ''), string_split(i, '')), lambda x: x[1] <> x[2] and not (regexp_matches(x[1], '[0-9]') and regexp_matches(x[2], '[0-9]')))) = 0""")
+  and len(list_filter(list_zip(string_split(q, ''), string_split(i, '')), lambda x: x[1] <> x[2] and not (regexp_matches(x[1], '[0-9]') and regexp_matches(x[2], '[0-9]')))) = 0)
+select query_id, row_idx, round(score, 9) as score from (select *, row_number() over (partition by query_id order by score desc, row_idx) as r from found) where r <= 10""")
 def article_typo_join(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.article_typo(_asks(spark, sf), items(spark, sf), F.col("typo"), F.col("article"), limit=1000).select("query_id", "row_idx")
+    return lookup.article_typo(_asks(spark, sf), items(spark, sf), F.col("typo"), F.col("article")).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"""with {_ASKS}, q as (select query_id, {_COMPACT('cut')} as q from asks where length({_COMPACT('cut')}) >= 4), i as (select row_idx, {_COMPACT('article')} as i from items where length({_COMPACT('article')}) >= 4),
+blocks as (select query_id, q, b, row_number() over (partition by query_id order by length(b) desc, b) as r from (select query_id, q, unnest(list_distinct(list_filter(regexp_extract_all(q, '[0-9]+'), lambda x: length(x) >= 4))) as b from q)),
+terms as (select query_id, q, q as t from q union select query_id, q, b from blocks where r <= 2),
+met as (select distinct query_id, q, row_idx, i from terms join i on starts_with(i, t)), found as (select query_id, row_idx, {_AFFINITY} as score from met)
+select query_id, row_idx, round(score, 9) as score from (select *, row_number() over (partition by query_id order by score desc, row_idx) as r from found where score >= 0.45) where r <= 20""")
 def article_affinity_join(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.article_affinity(_asks(spark, sf), items(spark, sf), F.col("cut"), F.col("article"))
+    return lookup.article_affinity(_asks(spark, sf), items(spark, sf), F.col("cut"), F.col("article")).withColumn("score", F.round("score", 9))
 
 
-@query(f"""with {_ITEMS}, a as (select size as query_id, row_idx, 1 as lane from items where row_idx % 2 = 0), b as (select size as query_id, row_idx, 2 as lane from items where row_idx % 3 = 0)
+@query(f"""with {_ITEMS}, a as (select size as query_id, row_idx, 1 as lane from items where price > 1200), b as (select size as query_id, row_idx, 2 as lane from items)
 select * from a union all select * from b where not exists (select 1 from a where a.query_id = b.query_id and a.row_idx = b.row_idx)""")
 def candidate_union_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    i = items(spark, sf).select(F.col("size").alias("query_id"), "row_idx")
-    return lookup.add_absent(i.where("row_idx % 2 = 0").withColumn("lane", F.lit(1)), i.where("row_idx % 3 = 0").withColumn("lane", F.lit(2)))
+    i = items(spark, sf).select(F.col("size").alias("query_id"), "row_idx", "price")
+    return lookup.add_absent(i.where("price > 1200").drop("price").withColumn("lane", F.lit(1)), i.drop("price").withColumn("lane", F.lit(2)))
 
 
 @query(f"""with {_ASKS}, stored as (select lower(c_mktsegment) as note, c_custkey as stamp, md5({_MERGE("'part ' || c_nationkey")}) as h from customer),
@@ -348,9 +364,8 @@ def token_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 _REQUESTS = f"requests as (select item_id as query_id, list_distinct({_TOKENS('text')}) as tokens from benchmark)"
 _DOCS = f"texts as (select doc_id as row_idx, list_distinct({_TOKENS('text')}) as tokens from documents)"
-_MET = f"""{_REQUESTS}, {_DOCS}, idx as (select row_idx, unnest(tokens) as token from texts), dfs as (select token, count(*) as df from idx group by token),
-rare as (select query_id, token from (select query_id, token, row_number() over (partition by query_id order by df, token) as r from (select query_id, unnest(tokens) as token from requests) join dfs using (token)) where r <= 8),
-met as (select distinct query_id, row_idx from rare join idx using (token)),
+_MET = f"""{_REQUESTS}, {_DOCS}, idx as (select row_idx, unnest(tokens) as token from texts),
+met as (select distinct query_id, row_idx from (select query_id, unnest(tokens) as token from requests) join idx using (token)),
 pairs as (select query_id, row_idx, len(list_intersect(q.tokens, t.tokens)) as shared, len(q.tokens) as a, len(t.tokens) as b from met join requests q using (query_id) join texts t using (row_idx)),
 scored as (select query_id, row_idx, shared, shared / (a + b - shared) as score from pairs), ranked as (select *, row_number() over (partition by query_id order by score desc, row_idx) as rank from scored)"""
 
@@ -551,7 +566,7 @@ _REASONS = "case p_partkey % 6 when 0 then 'category_mismatch_x' when 1 then 'sh
 
 @query(f"""with c as (select p_size % 30 as query_id, p_partkey % 10 = 0 and p_size % 3 = 0 as compatible, case {_REASONS} when 'category_mismatch_x' then 'category_mismatch' when 'shield_y' then 'shielding_mismatch' when 'rack_depth' then 'rack_form_factor_mismatch'
     when 'connector_kind' then 'connector_mismatch' when 'catalog_missing_family' then 'missing_family' else 'other_spec_mismatch' end as reason, p_name as name, p_retailprice as score from part),
-q as (select range as query_id, range % 7 <> 0 as target from range(40)), n as (select query_id, count(*) as same_family, count(*) filter (compatible) as compatible_candidates, max_by(name, {{'s': score, 'n': name}}) as best_example from c group by 1),
+q as (select item_id as query_id, length(text) % 7 <> 0 as target from benchmark), n as (select query_id, count(*) as same_family, count(*) filter (compatible) as compatible_candidates, max_by(name, {{'s': score, 'n': name}}) as best_example from c group by 1),
 r as (select query_id, reason, count(*) as n from c where not compatible group by 1, 2), top as (select query_id, max(n) as m from r group by 1), tied as (select query_id, min(reason) as reason, count(*) as k from r join top using (query_id) where n = m group by 1),
 d as (select q.query_id, target, coalesce(same_family, 0) as same_family, coalesce(compatible_candidates, 0) as compatible_candidates, best_example, reason, k,
   case when not target then 'non_target_family' when coalesce(same_family, 0) = 0 then 'catalog_missing_family' when compatible_candidates = 0 then 'catalog_has_family_but_no_compatible_specs' else 'catalog_has_compatible_candidates' end as diagnosis
@@ -559,7 +574,7 @@ d as (select q.query_id, target, coalesce(same_family, 0) as same_family, coales
 select query_id, target, same_family, compatible_candidates, best_example, diagnosis, case when diagnosis = 'catalog_missing_family' then 'missing_family' when diagnosis <> 'catalog_has_family_but_no_compatible_specs' then '' when k > 1 then 'multiple_spec_mismatches' else reason end as gap_reason_code from d""")
 def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
     candidates = t(spark, sf, "part").select((F.col("p_size") % 30).cast("long").alias("query_id"), F.expr("p_partkey % 10 = 0 and p_size % 3 = 0").alias("compatible"), F.expr(_REASONS).alias("incompatibility"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("score"))
-    return audit.coverage_audit(spark.range(40).select(F.col("id").alias("query_id"), (F.col("id") % 7 != 0).alias("target")), candidates)
+    return audit.coverage_audit(t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.length("text") % 7 != 0).alias("target")), candidates)
 
 
 _STAGES = "case event_id % 5 when 0 then 'resolved' when 1 then 'query_input' when 2 then 'catalog_gap' when 3 then 'retrieval' else null end"

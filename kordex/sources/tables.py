@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys, if its files have fewer splits than the cluster has cores: a file of one row group keeps one core busy."""
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(*keys) if splits < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def write_search_table(df: DataFrame, path: str, family: str = "effective_family") -> None:
     """Parquet by family, sorted by branch within files, so that scans of a family or a branch skip the rest."""
     salted = df.repartition(F.col(family), F.pmod(F.xxhash64("row_idx"), F.lit(16)))
