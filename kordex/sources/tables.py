@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt by keys, if its files have fewer splits than the cluster has cores: a file of one row group keeps one core busy."""
+    """df dealt by keys, if its files have splits for half of the cores at most: a file of one row group keeps one core busy."""
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(*keys) if splits < df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(*keys) if 2 * splits <= df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def write_search_table(df: DataFrame, path: str, family: str = "effective_family") -> None:
