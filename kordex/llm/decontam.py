@@ -1,17 +1,19 @@
 """Benchmark decontamination by an FM-index of each shard of the training texts.
 
-A shard is a run of whole documents of about common.SLICE_BYTES. Its words become numbers in the
-benchmark's vocabulary; words outside it end a run, and runs shorter than the shortest window cannot
-hold one, so they are left out. The rest gets a suffix array, its Burrows-Wheeler transform in a wavelet
-matrix, and sampled suffix positions. All windows (phrases of WINDOW words; shorter items whole) are
-searched backwards together; the positions found give hit words, merged into spans to remove.
+A shard is a run of whole documents of about common.SLICE_BYTES; a text of more than SHARD_WORDS words is dealt over
+shards that overlap by a window. Its words become numbers, and the whole of it gets
+a suffix array, its Burrows-Wheeler transform in a wavelet matrix, and sampled suffix positions. All windows
+(phrases of WINDOW words; shorter items whole) are searched backwards together; the positions
+found give hit words, merged into spans to remove.
 
-The benchmark is measured first and broadcast in blocks of at most BLOCK_BYTES of text; a larger one
-takes more passes over the texts, chained in one plan. Words are compared by 64-bit hashes.
+The benchmark is dealt into blocks of about BLOCK_BYTES of text, and tasks make each block's table of windows; the driver
+passes one on at a time. A benchmark of several blocks takes more passes over the texts, chained in one plan.
+Words are compared by 64-bit hashes.
 
 Defined results: a null text, or one without words, has no hits; so has every document if the benchmark is
 empty; items without words never occur; rows of one item_id count as one item, a null one as an item
-without a name; repeated rows are judged alike; extra columns pass through removed().
+without a name; repeated rows are judged alike; a very long text gives what it would in one shard; an empty documents table gives an
+empty result; extra columns pass through removed().
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytewords import ALNUM, FOLD, buffers, first_rows, words
-from .common import free_name, slices, table
+from .bytewords import ALNUM, FOLD, buffers, words
+from .common import free_name, slices, table, written
 
-WINDOW, BLOCK_BYTES, SAMPLING = 10, 16 << 20, 8
+WINDOW, BLOCK_BYTES, SAMPLING, SHARD_WORDS = 10, 4 << 20, 8, 1 << 19
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -41,28 +43,29 @@ class Phrases:
         _, _, h, of = words(*buffers(pa.array([t for _, t in items], pa.string())), ALNUM, FOLD)
         self.names = sorted({i or "" for i, _ in items})
         number = {n: k for k, n in enumerate(self.names)}
+        owner = np.repeat(np.array([number[i or ""] for i, _ in items], np.int64), np.diff(of))
         self.vocabulary, ids = np.unique(h, return_inverse=True)
-        ids = ids + 1
-        found: dict[bytes, set[int]] = {}
-        for (name, _), a, b in zip(items, of[:-1], of[1:], strict=True):
-            size = min(window, b - a)
-            if size:
-                for k in range(a, b - size + 1):
-                    found.setdefault(ids[k : k + size].astype(np.int32).tobytes(), set()).add(number[name or ""])
+        ids = ids.astype(np.int32)
+        size = np.diff(of)
         self.groups = []
-        for size in sorted({len(k) // 4 for k in found}):
-            keys = [k for k in found if len(k) == 4 * size]
-            owners = [sorted(found[k]) for k in keys]
-            ends = np.cumsum([0, *map(len, owners)])
-            self.groups.append((size, np.frombuffer(b"".join(keys), np.int32).reshape(-1, size), ends, np.array([x for o in owners for x in o], np.int64)))
-        self.shortest = min((g[0] for g in self.groups), default=0)
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hashed word in the vocabulary, 0 if it is not there."""
-        if not len(self.vocabulary):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, at + 1, 0)
+        for width in np.unique(np.minimum(size, window)).tolist():
+            some = np.flatnonzero(np.minimum(size, window) == width)
+            if not width:
+                continue
+            n = size[some] - width + 1
+            begin = np.repeat(of[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            rows = np.lib.stride_tricks.sliding_window_view(ids, width)[begin]
+            windows, which = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.ravel(), owner[begin]], axis=1), axis=0)
+            ends = np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))
+            self.groups.append((width, windows, ends, pairs[:, 1]))
+
+    def within(self, alphabet: np.ndarray) -> np.ndarray:
+        """The number of each word of the vocabulary in a sorted alphabet of hashes, from 1; 0 if it is not there."""
+        if not len(self.vocabulary) or not len(alphabet):
+            return np.zeros(len(self.vocabulary), np.int64)
+        at = np.minimum(np.searchsorted(alphabet, self.vocabulary), len(alphabet) - 1)
+        return np.where(alphabet[at] == self.vocabulary, at + 1, 0)
 
 
 class FMIndex:
@@ -72,20 +75,17 @@ class FMIndex:
         n = self.n = len(text)
         zero = text == 0
         rank = np.where(zero, np.cumsum(zero) - 1, text + int(zero.sum()) - 1).astype(np.int64)
-        k = 1
-        while True:  # ranks by 2k symbols from ranks by k; runs end in unlike zeros, so this ends with the longest run
-            later = np.zeros(n, np.int64)
-            later[:-k] = rank[k:] + 1
-            key = rank * (n + int(text.max()) + 2) + later
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-            rank = np.empty(n, np.int64)
-            rank[order] = fresh
-            if fresh[-1] == n - 1:
-                break
-            k *= 2
-            if k >= n:
-                break
+        order, unsure, k = np.arange(n), np.arange(n), 0
+        while len(unsure):  # places of suffixes that equal a neighbour in their first k symbols; unlike zeros end each run, so none is left
+            some = order[unsure]
+            key = rank[some] * (2 * n + 2) + (rank[some + k] if k else 0)
+            by = np.argsort(key)
+            some, key = some[by], key[by]
+            order[unsure] = some
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            rank[some] = np.repeat(unsure[first], np.diff(np.append(np.flatnonzero(first), len(key))))
+            alone = first & np.append(first[1:], True)
+            unsure, k = unsure[~alone], max(1, 2 * k)
         suffixes = order
         bwt = text[suffixes - 1]
         self.less = np.concatenate(([0], np.cumsum(np.bincount(text))))
@@ -143,62 +143,63 @@ class FMIndex:
         return out
 
 
-def find(phrases: Phrases, texts: pa.Array) -> tuple[np.ndarray, list[tuple[list, list]]]:
+def find(phrases: Phrases, texts: pa.Array, most: int = SHARD_WORDS) -> tuple[np.ndarray, list[tuple[list, list]]]:
     """Words of each text, and its (merged spans of word numbers, names of items)."""
     _, _, h, of = words(*buffers(texts), ALNUM, FOLD)
     none: list[tuple[list, list]] = [([], []) for _ in range(len(of) - 1)]
     size = np.diff(of)
-    ids = phrases.numbers(h)
-    if not phrases.groups or not ids.any():
+    if not len(h) or not phrases.groups:
         return size, none
-    row = first_rows(of, np.arange(len(ids)))
-    breaks = np.flatnonzero((ids[1:] == 0) != (ids[:-1] == 0))
-    cuts = np.unique(np.concatenate(([0], breaks + 1, of[(of > 0) & (of < len(ids))], [len(ids)])))
-    run = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if ids[a] and b - a >= phrases.shortest] if len(cuts) < 64 else _runs(ids, cuts, phrases.shortest)
-    if not len(run):
-        return size, none
-    run = np.asarray(run)
-    length = run[:, 1] - run[:, 0] + 1
-    ends = np.cumsum(length)
-    own = np.repeat(np.arange(len(run)), length)
-    place = np.arange(ends[-1]) - (ends - length)[own] + run[own, 0]
-    text = np.where(place < run[own, 1], ids[np.minimum(place, len(ids) - 1)], 0)
-    index = FMIndex(text, (ends - length)[own])
-    there = np.zeros(len(phrases.vocabulary) + 1, bool)
-    there[text] = True
-    depth, pairs = np.zeros(len(ids) + 1, np.int64), []
-    for width, windows, begin, owners in phrases.groups:
-        some = np.flatnonzero(there[windows].all(axis=1))
-        if not len(some):
-            continue
-        lo, hi = index.search(windows[some])
-        n = hi - lo
-        which = np.repeat(np.arange(len(some)), n)
-        at = place[index.locate(np.arange(n.sum()) - (np.cumsum(n) - n)[which] + lo[which])]
-        np.add.at(depth, at, 1)
-        np.add.at(depth, at + width, -1)
-        met = np.unique(np.stack([row[at], some[which]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-        k = begin[met[1] + 1] - begin[met[1]]
-        each = np.repeat(np.arange(met.shape[1]), k)
-        pairs.append(np.stack([met[0][each], owners[np.arange(k.sum()) - (np.cumsum(k) - k)[each] + begin[met[1]][each]]]))
+    depth, pairs = np.zeros(len(h) + 1, np.int64), []
+    row_of = np.repeat(np.arange(len(size)), size)
+    beyond = phrases.groups[-1][0] - 1
+    for lo in range(0, len(h), most):  # a window that begins in a shard ends in it
+        hi = min(len(h), lo + most + beyond)
+        for at, width, item in occurrences(phrases, h[lo:hi], np.clip(of, lo, hi) - lo):
+            np.add.at(depth, at + lo, 1)
+            np.add.at(depth, at + lo + width, -1)
+            pairs.append(np.unique(np.stack([np.repeat(row_of[at + lo], np.diff(item[0])), item[1]]), axis=1))
     hit = np.cumsum(depth[:-1]) > 0
     edge = hit.copy()
     edge[1:] &= ~hit[:-1]
     edge[of[:-1][size > 0]] |= hit[of[:-1][size > 0]]
     for a in np.flatnonzero(edge).tolist():
-        stop = int(of[row[a] + 1])
+        stop = int(of[row_of[a] + 1])
         b = a + int(np.argmin(hit[a:stop])) if not hit[a:stop].all() else stop
-        none[row[a]][0].append((a - int(of[row[a]]), b - int(of[row[a]])))
+        none[row_of[a]][0].append((a - int(of[row_of[a]]), b - int(of[row_of[a]])))
     if pairs:
         for r, k in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
             none[r][1].append(phrases.names[k])
     return size, none
 
 
-def _runs(ids: np.ndarray, cuts: np.ndarray, shortest: int) -> np.ndarray:
-    a, b = cuts[:-1], cuts[1:]
-    keep = (ids[a] > 0) & (b - a >= shortest)
-    return np.stack([a[keep], b[keep]], axis=1)
+def occurrences(phrases: Phrases, h: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, int, tuple[np.ndarray, np.ndarray]]]:
+    """Where the windows occur in a shard (h: hashes of its words, of: where texts begin): for each length the first words,
+    the length, and the items of each occurrence (where they begin, and their numbers)."""
+    alphabet, ids = np.unique(h, return_inverse=True)
+    number = phrases.within(alphabet)
+    groups = [(width, number[windows], begin, owners) for width, windows, begin, owners in phrases.groups]
+    if not any((w > 0).all(axis=1).any() for _, w, _, _ in groups):
+        return
+    full = np.diff(of)[np.diff(of) > 0]
+    ends = np.cumsum(full + 1)  # a 0 ends each text
+    text = np.zeros(ends[-1], np.int64)
+    text[np.delete(np.arange(ends[-1]), ends - 1)] = ids + 1
+    place = np.arange(ends[-1]) - np.repeat(np.arange(len(full)), full + 1)  # the number of each symbol's word
+    index = FMIndex(text, np.repeat(ends - full - 1, full + 1))
+    for width, windows, begin, owners in groups:
+        some = np.flatnonzero((windows > 0).all(axis=1))
+        if not len(some):
+            continue
+        lo, hi = index.search(windows[some])
+        n = hi - lo
+        if not n.sum():
+            continue
+        which = np.repeat(np.arange(len(some)), n)
+        at = place[index.locate(np.arange(n.sum()) - (np.cumsum(n) - n)[which] + lo[which])]
+        k = begin[some[which] + 1] - begin[some[which]]
+        starts = np.concatenate(([0], np.cumsum(k)))
+        yield at, width, (starts, owners[np.arange(starts[-1]) - np.repeat(starts[:-1], k) + np.repeat(begin[some[which]], k)])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -211,13 +212,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple]]:
-    """The items in lists of about `limit` bytes of text, by a hash of the id; their number follows the measured size."""
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES, window: int = WINDOW) -> list:
+    """Broadcasts of the windows of items, a block of about `limit` bytes of text each, dealt by a hash of the id.
+
+    Tasks make the tables of windows. The driver passes them on one after the other and keeps none of them.
+    """
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // limit))
-    block = F.pmod(F.xxhash64(F.coalesce("item_id", F.lit(""))), F.lit(n))
-    return [[tuple(r) for r in items.where(block == k).collect()] for k in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for k, item, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                held.setdefault(k, []).append((item, text))
+        for rows in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Phrases(rows, window))], pa.binary())], ["phrases"])
+
+    dealt = items.select(F.pmod(F.xxhash64(F.coalesce("item_id", F.lit(""))), F.lit(n)).cast("int").alias("block"), "item_id", "text").repartition(n, "block")
+    found = [spark.sparkContext.broadcast(bytes(r["phrases"])) for r in dealt.mapInArrow(run, "phrases binary").toLocalIterator()]
+    return found or [spark.sparkContext.broadcast(pickle.dumps(Phrases([], window)))]
 
 
 _SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
@@ -227,8 +242,7 @@ _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, keep_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (its first two columns: an id and a text) -> both, n_words, spans (merged, word numbers), items (names)."""
-    spark, fields = docs.sparkSession, docs.schema.fields[:2]
-    todo = [spark.sparkContext.broadcast(pickle.dumps(Phrases(b, window))) for b in blocks(benchmark, block_bytes)]
+    fields, todo = docs.schema.fields[:2], blocks(benchmark, block_bytes, window)
     found = docs.select(*[f.name for f in fields])
     for k, shared in enumerate(todo):
         keep = keep_text or k + 1 < len(todo)
@@ -260,33 +274,53 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[reach:]])
 
 
-def removed(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", count_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+def removed(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", count_col: str | None = "n_chars", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with every hit span cut out of the text and the length column brought up to date.
 
+    What a cut joins may be a hit again, so texts that were cut are searched until none is left. With one block of
+    items that happens where the text is; with more, the rows that were cut are written and searched again.
     A document whose hits were all its words goes altogether.
     """
     names = docs.columns
     whole = free_name(names, "whole_row")
     packed = docs.select(F.struct(*[F.col(c) for c in names if c != text_col]).alias(whole), F.col(text_col))
-    found = find_passages(packed, benchmark, window=window, keep_text=True)
-    schema = T.StructType([T.StructField("row", found.schema[0].dataType), T.StructField("text", T.StringType()), T.StructField("kept", T.BooleanType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            texts, keep = part.column(1).to_pylist(), [True] * part.num_rows
-            size = part.column(2).to_pylist()
-            for i, spans in enumerate(part.column(3).to_pylist()):
-                if spans:
-                    pairs = [(s["first"], s["end"]) for s in spans]
-                    texts[i] = cut(texts[i], pairs)
-                    keep[i] = sum(b - a for a, b in pairs) < size[i]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(keep)], ["row", "text", "kept"])
-
-    clean = found.mapInArrow(run, schema).where("kept")
-    new = {text_col: F.col("text")} | ({count_col: F.length("text").cast(docs.schema[count_col].dataType)} if count_col in names else {})
-    touched = {c: F.col("row").getField(c) for c in names if c != text_col} | {text_col: new[text_col]}
+    todo = blocks(benchmark, block_bytes, window)
+    row_type, text_type = packed.schema[0].dataType, T.StringType()
+    schema = T.StructType([T.StructField("row", row_type), T.StructField("text", text_type), T.StructField("kept", T.BooleanType()), T.StructField("again", T.BooleanType())])
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        for k, shared in enumerate(todo):
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0) -> Iterator[pa.RecordBatch]:
+                phrases = pickle.loads(shared.value)
+                for part in slices(batches, 1):
+                    texts, keep, cuts = part.column(1).to_pylist(), [True] * part.num_rows, [False] * part.num_rows
+                    if not first:
+                        keep, cuts = part.column(2).to_pylist(), part.column(3).to_pylist()
+                    live = [i for i in range(part.num_rows) if keep[i]]
+                    while live:
+                        size, found = find(phrases, pa.array([texts[i] for i in live], pa.string()))
+                        live, old = [], live
+                        for i, n, (pairs, _) in zip(old, size.tolist(), found, strict=True):
+                            if pairs:
+                                texts[i], cuts[i] = cut(texts[i], pairs), True
+                                keep[i] = sum(b - a for a, b in pairs) < n
+                                live += [i] * keep[i]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(keep), pa.array(cuts)], ["row", "text", "kept", "again"])
+
+            rows = rows.mapInArrow(run, schema)
+        return rows.where("kept")
+
+    clean = cleaned(packed)
+    if len(todo) > 1:  # a later block's cuts may have joined what an earlier block holds
+        rest = written(clean, "cut")
+        clean = rest.where("not again")
+        while not (cut_again := rest.where("again")).isEmpty():
+            rest = written(cleaned(cut_again.select("row", "text")), "cut")
+            clean = clean.unionByName(rest.where("not again"))
+    touched = {c: F.col("row").getField(c) for c in names if c != text_col} | {text_col: F.col("text")}
     if count_col in names:
-        touched[count_col] = F.when(F.col("text").isNull(), F.col("row").getField(count_col)).otherwise(new[count_col])
+        touched[count_col] = F.when(F.col("text").isNull(), F.col("row").getField(count_col)).otherwise(F.length("text").cast(docs.schema[count_col].dataType))
     return clean.select(*[touched[c].alias(c) for c in names])
 
 

@@ -27,9 +27,12 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> Dat
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label", "ord")
 
 
-def trained(features: DataFrame, fit: Callable[[list[tuple]], bytes], kind: np.dtype) -> bytes:
+def trained(features: DataFrame, fit: Callable[[list[tuple]], bytes], kind: np.dtype, bound: int) -> bytes:
     """fit(rows) run in one task, which gets the bounded sample in order; b"" if there are no rows.
 
+    Equal rows are one. Texts that share an id are all in the sample; if that makes more than `bound` rows, the first of
+    them in the order of the ids' hashes (of one id: by a hash of the features) stay.
+
     features (ord, label, packed numbers) -> rows (ord, label, array of `kind`); the arrays are views of what Spark sent.
     """
 
@@ -42,9 +45,8 @@ def trained(features: DataFrame, fit: Callable[[list[tuple]], bytes], kind: np.d
             rows += [(o, y, packed[i:j]) for o, y, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends[:-1], ends[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows) if rows else b""], pa.binary())], ["model"])
 
-    ord_, label, packed = features.columns  # rows that repeat an id are one
-    once = features.groupBy(ord_, label).agg(F.max(packed).alias(packed))
-    one = once.repartition(1).sortWithinPartitions(ord_, label)
+    ord_, label, packed = features.columns
+    one = features.distinct().orderBy(ord_, label, F.xxhash64(packed), packed).limit(bound).repartition(1).sortWithinPartitions(ord_, label, packed)
     models = [r[0] for r in one.mapInArrow(run, T.StructType([T.StructField("model", T.BinaryType())])).collect()]
     return max(models, default=b"", key=len)
 

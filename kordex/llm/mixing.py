@@ -9,7 +9,8 @@ partitions Spark splits.
 
 Defined results: a null or empty text has size 0 and is never short of its target; a null source is a
 source of its own, the last one; a null id is hashed as an empty text; repeated ids draw alike; extra
-columns pass through untouched; an empty table gives an empty result.
+columns, also those named as a new one, pass through untouched; a very long text is one row with a large size;
+equal sizes draw apart, by their ids; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, free_name, small_or_not, table
+from .common import WORD, free_name, small_or_not, table, written
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 
@@ -56,28 +57,41 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """docs -> (all columns but the text, size, source_size, target, copies): how often the mix takes each document."""
-    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(F.col(text_col))).drop(text_col)
-    targets = small_or_not(source_targets(sized.select(F.col(source_col).alias("source"), "size"), weights, share, most))
-    key = free_name([*docs.columns, "size"], "mix_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    whole = F.floor(rate)
+    """docs -> (all columns but the text, size, source_size, target, copies): how often the mix takes each document.
+
+    Where docs has a column of one of these names, its own stays and the new one gets a leading underscore.
+    Texts are read once: their sizes are written with the other columns.
+    """
+    names = [c for c in docs.columns if c != text_col]
+    made: dict[str, str] = {}
+    for c in ("size", "source_size", "target", "copies"):
+        made[c] = free_name([*docs.columns, *made.values()], c)
+    key = free_name([*docs.columns, *made.values()], "mix_source")
+    sized = written(docs.withColumn(made["size"], size_of(F.col(text_col))).select(*names, made["size"]), "sizes")
+    targets = small_or_not(source_targets(sized.select(F.col(source_col).alias("source"), F.col(made["size"]).alias("size")), weights, share, most))
+    whole, rate = F.floor(taken_rate(made["source_size"], made["target"])), taken_rate(made["source_size"], made["target"])
     copies = whole + F.when(draw(F.col(id_col), seed) < rate - whole, 1).otherwise(0)
-    joined = sized.join(targets.withColumnRenamed("source", key), F.col(source_col).eqNullSafe(F.col(key)))
-    return joined.drop(key).withColumn("copies", copies.cast("long"))
+    joined = sized.join(targets.toDF(key, made["source_size"], made["target"]), F.col(source_col).eqNullSafe(F.col(key)))
+    return joined.drop(key).withColumn(made["copies"], copies.cast("long"))
+
+
+def taken_rate(source_size: str, target: str) -> Column:
+    """How often a source is taken; one without words is not."""
+    return F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
 
 
 def emitted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with its number in a column copy (from 1)."""
-    names = [c for c in docs.columns if c != "copy"]
-    size, key, rate_col = (free_name(names, c) for c in ("mix_size", "mix_source", "mix_rate"))
+    """The mix itself: each row of docs, all columns as they are, as often as it is taken, with its number (from 1) in a new
+    column copy, which has a leading underscore if docs has such a column."""
+    names = docs.columns
+    size, key, rate_col, number = (free_name(names, c) for c in ("mix_size", "mix_source", "mix_rate", "copy"))
     sizes = docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    targets = small_or_not(source_targets(sizes, weights, share, most).select(F.col("source").alias(key), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate_col)))
-    joined = docs.select(*names).join(targets, F.col(source_col).eqNullSafe(F.col(key)))
+    targets = small_or_not(source_targets(sizes, weights, share, most).select(F.col("source").alias(key), taken_rate("source_size", "target").alias(rate_col)))
+    joined = docs.join(targets, F.col(source_col).eqNullSafe(F.col(key)))
     whole = F.floor(rate_col)
     copies = (whole + F.when(draw(F.col(id_col), seed) < F.col(rate_col) - whole, 1).otherwise(0)).cast("int")
     taken = joined.withColumn(size, copies).where(F.col(size) > 0)
-    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col(size))).alias("copy"))
+    return taken.select(*names, F.explode(F.sequence(F.lit(1), F.col(size))).alias(number))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(packed, pa.binary())], ["ord", "label", "x"])
 
     schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])
-    return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit, np.float32)
+    return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit, np.float32, sample)
 
 
 def label_lines(data: np.ndarray, offs: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,8 @@ documents are guarded: their histograms are too noisy to judge.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a
 language of its own; a document that is alone in its language equals its reference; repeated rows are
-judged each; extra columns are ignored; an empty table gives an empty result.
+judged each; distances in the same step as the middle one are all in the near half; a very long text is a row
+of arrays as long as its words; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import small_or_not, table, written
 
@@ -33,6 +35,8 @@ SYMBOLS = "#*$%&|<>"
 CHAR_LIMIT, CHAR_SLACK, CHAR_WORDS = 0.1, 1.2, 20
 WORD_LIMIT, WORD_SLACK, WORD_WORDS = 0.15, 1.2, 50
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
+#: Steps in which distances are ordered to find their middle.
+BINS = 1 << 16
 
 _LIST = tuple(dict.fromkeys(w for ws in COMMON.values() for w in ws))
 
@@ -109,15 +113,29 @@ def _measured(profiles: DataFrame, refs: DataFrame) -> DataFrame:
     return both.withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", js_distance(F.col("common"), F.col("ref_common"))).drop("ref_chars", "ref_common")
 
 
+def bin_of(distance: Column) -> Column:
+    """The number of the step of 1 / BINS that a distance falls into."""
+    return F.floor(distance * F.lit(float(BINS))).cast("int")
+
+
+def _median_bins(measured: DataFrame, distance: str, name: str) -> DataFrame:
+    """(cut_lang, name): the bin that holds a language's middle distance. Documents are counted a bin, so it is exact at any size."""
+    counts = measured.groupBy(F.col("lang").alias("cut_lang"), bin_of(F.col(distance)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    lang = Window.partitionBy("cut_lang")
+    upto = counts.withColumns({"up": F.sum("n").over(lang.orderBy("b")), "of": F.sum("n").over(lang)})
+    return upto.where(2 * F.col("up") >= F.col("of")).groupBy("cut_lang").agg(F.min("b").alias(name))
+
+
 def references(profiles: DataFrame) -> DataFrame:
     """One row a language: histograms of the half of its documents that is nearest to the histograms of all.
 
     The second look keeps junk, which may be frequent, out of the reference it is compared with.
     """
     first = _measured(profiles, _summed(profiles, F.lit(True), F.lit(True)))
-    cuts = first.groupBy(F.col("lang").alias("cut_lang")).agg(F.percentile_approx("char_distance", 0.5, 1000).alias("cut_char"), F.percentile_approx("word_distance", 0.5, 1000).alias("cut_word"))
-    near = first.join(small_or_not(cuts), F.col("lang").eqNullSafe(F.col("cut_lang")))
-    return _summed(near, F.col("char_distance") <= F.col("cut_char"), F.col("word_distance") <= F.col("cut_word"))
+    near = first
+    for distance, name in (("char_distance", "cut_char"), ("word_distance", "cut_word")):
+        near = near.join(small_or_not(_median_bins(first, distance, name)), F.col("lang").eqNullSafe(F.col("cut_lang"))).drop("cut_lang")
+    return _summed(near, bin_of(F.col("char_distance")) <= F.col("cut_char"), bin_of(F.col("word_distance")) <= F.col("cut_word"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -172,8 +190,8 @@ n as (select w.r, doc_id, lang, len(w)::bigint as n_words, length(regexp_replace
 p as (select *, [up, dg, pt, n_symbols, wd, ln - word_chars, greatest(0, word_chars - up - dg - pt - n_symbols - wd)] as chars, [{common}, n_words - len(lw)] as common from n),
 r1 as (select lang as l, {sums('chars', 7, 'true')} as c1, {sums('common', k, 'true')} as w1 from p group by lang),
 m1 as (select p.*, {distance('chars', 'c1')} as cd, {distance('common', 'w1')} as wdist from p join r1 on lang is not distinct from l),
-cut as (select lang as l, quantile_disc(cd, 0.5) as cc, quantile_disc(wdist, 0.5) as cw from m1 group by lang),
-r2 as (select lang as l, {sums('chars', 7, 'cd <= cc')} as c2, {sums('common', k, 'wdist <= cw')} as w2 from m1 join cut on lang is not distinct from l group by lang),
+cut as (select lang as l, quantile_disc(floor(cd * {BINS}), 0.5) as cc, quantile_disc(floor(wdist * {BINS}), 0.5) as cw from m1 group by lang),
+r2 as (select lang as l, {sums('chars', 7, f'floor(cd * {BINS}) <= cc')} as c2, {sums('common', k, f'floor(wdist * {BINS}) <= cw')} as w2 from m1 join cut on lang is not distinct from l group by lang),
 m2 as (select p.*, {distance('chars', 'c2')} as cd, {distance('common', 'w2')} as wdist, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from p join r2 on lang is not distinct from l)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or {beyond('cd', CHAR_LIMIT, CHAR_SLACK, CHAR_WORDS)} or {beyond('wdist', WORD_LIMIT, WORD_SLACK, WORD_WORDS)}) as kept

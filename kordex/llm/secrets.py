@@ -2,7 +2,7 @@
 
 Runs of encoded-looking characters get an encoding (the smallest of some alphabets that holds them) and
 become numbers. Three tests ask whether they look drawn at random from that alphabet: chi-squared over
-eight equal parts of the alphabet, Wald-Wolfowitz runs about the middle, and lag-one serial correlation.
+the whole alphabet, Wald-Wolfowitz runs about the middle, and lag-one serial correlation.
 A run that fails one (Bonferroni) is ordinary text. For the rest, the likelihood of the run as ordinary text
 (a chain of lower case, capitals, digits and signs, with common and rare letters; text all in capitals as if in lower case) over that of a uniform
 draw bounds the probability that ordinary text looks as random, and falls with the length. It goes through
@@ -12,7 +12,8 @@ the signs of one alphabet and between those of the other.
 
 Defined results: a null or empty text has no spans (empty strings, zero counts, the hash of the empty
 text); spans are in code points, end exclusive; a run that a pattern already covers is not reported
-again; repeated rows scan alike; extra columns pass through redact() and are ignored otherwise.
+again; of parts that overlap with the same likelihood the first is told; repeated rows scan alike; a very long text is
+scanned whole; an empty table gives an empty result; extra columns pass through redact() and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: Runs of fewer characters say too little; level of the battery; share of false finds; parts of the alphabet.
-LEAST_RANDOM, LEVEL, FALSE_SHARE, PARTS = 20, 0.01, 0.01, 8
+#: Runs of fewer characters say too little; level of the battery; share of false finds.
+LEAST_RANDOM, LEVEL, FALSE_SHARE = 20, 0.01, 0.01
 
 _UP, _LOW, _NUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (("hex", _NUM + "abcdef"), ("HEX", _NUM + "ABCDEF"), ("base32", _UP + "234567"), ("base36", _NUM + _LOW), ("base64", _UP + _LOW + _NUM + "+/"), ("base64url", _UP + _LOW + _NUM + "-_"))
@@ -77,14 +78,23 @@ def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def uniformity(x: np.ndarray, size: int) -> tuple[float, float]:
+    """Chi-squared over every letter of the alphabet, with its upper p-value.
+
+    Runs may be shorter than the alphabet, so the statistic's own mean and variance among uniform draws (size - 1 and
+    2 (size - 1)(n - 1) / n) set a gamma distribution, whose tail follows by the cube root of Wilson and Hilferty.
+    """
+    n = len(x)
+    count = np.bincount(x.astype(int), minlength=size)
+    chi2 = float((count * count).sum()) * size / n - n
+    mean, shape = size - 1, (size - 1) * n / (2 * max(n - 1, 1))
+    return chi2, 0.5 * math.erfc(((chi2 / mean) ** (1 / 3) - (1 - 1 / (9 * shape))) * math.sqrt(9 * shape) / math.sqrt(2))
+
+
 def battery(x: np.ndarray, size: int) -> tuple[float, float, float, float]:
     """Statistic and p-values of chi-squared uniformity, runs, and serial correlation."""
     n = len(x)
-    count = np.bincount((x * PARTS // size).astype(int), minlength=PARTS)
-    width = np.bincount(np.arange(size) * PARTS // size, minlength=PARTS) / size
-    chi2 = float(((count - n * width) ** 2 / (n * width)).sum())
-    df = PARTS - 1
-    uniform = 0.5 * math.erfc(((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)) / math.sqrt(2))
+    chi2, uniform = uniformity(x, size)
     high = x >= size / 2
     up, down = int(high.sum()), int(n - high.sum())
     mean, var = 2 * up * down / n + 1, 2 * up * down * (2 * up * down - n) / (n * n * (n - 1))

@@ -78,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.array(packed, pa.binary())], ["ord", "label", "at"])
 
     schema = T.StructType([T.StructField("ord", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("at", T.BinaryType())])
-    return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit, np.int32)
+    return trained(labelled(docs, labels, target, sample).mapInArrow(featurise, schema), fit, np.int32, sample)
 
 
 def probabilities(model: bytes, batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

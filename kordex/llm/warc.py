@@ -38,23 +38,24 @@ ARCHIVE = T.StructType([T.StructField("archive_id", T.StringType()), T.StructFie
 RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
 
 
-def record_of(page: int | None) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
+def record_of(page: int | None, digest: str) -> str:
+    """A record's name. Rows that share an id are told apart by their payloads; those that share both are one record twice."""
+    return f"<urn:page:{'' if page is None else page}:{digest}>"
 
 
 def page_of(record: str) -> int | None:
-    digits = record.removeprefix("<urn:page:").removesuffix(">")
+    digits = record.removeprefix("<urn:page:").partition(":")[0]
     return int(digits) if digits else None
 
 
 def encode(page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_of(page)}", f"WARC-Date: {date}"]
-    head.append(f"WARC-Target-URI: {' '.join((url or record_of(page)[1:-1]).split())}")
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_of(page, digest)}", f"WARC-Date: {date}"]
+    head.append(f"WARC-Target-URI: {' '.join((url or record_of(page, digest)[1:-1]).split())}")
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_of(first)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_of(first, digest)}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
