@@ -27,8 +27,27 @@ def soft_filter(candidates: DataFrame, keep: Column, key: str = "query_id") -> D
 
 
 def soft_filters(candidates: DataFrame, rules: Iterable[Column], key: str = "query_id") -> DataFrame:
-    """Soft filters one after the other."""
-    return reduce(lambda df, rule: soft_filter(df, rule, key), rules, candidates)
+    """Soft filters one after the other: each keeps the candidates that hold it among those that are left, or all of them.
+
+    A candidate's hits are the bits of a number. A request has few different numbers, which one partial aggregation collects; what the
+    chain leaves of them is worked out there, and the candidates that have one of these stay: one join, however many rules.
+    """
+    listed = list(rules)
+    if not listed:
+        return candidates
+    if len(listed) > 62:
+        return soft_filters(soft_filters(candidates, listed[:62], key), listed[62:], key)
+    bits = reduce(lambda a, x: a.bitwiseOR(F.when(F.coalesce(x[1], F.lit(False)), F.lit(1 << x[0])).otherwise(F.lit(0)).cast("long")), enumerate(listed), F.lit(0).cast("long"))
+    marked = candidates.withColumn("__hits", bits)
+
+    def step(left: Column, i: Column) -> Column:
+        hit = F.filter(left, lambda p: F.expr("1L") == F.call_function("shiftright", p, i).bitwiseAND(F.lit(1).cast("long")))
+        return F.when(F.size(hit) > 0, hit).otherwise(left)
+
+    chain = F.aggregate(F.sequence(F.lit(0), F.lit(len(listed) - 1)), F.collect_set("__hits"), step)
+    stay = marked.groupBy(F.col(key).alias("__key")).agg(chain.alias("__stay"))
+    met = marked.join(stay, F.col(key).eqNullSafe(F.col("__key")))
+    return met.where(F.array_contains("__stay", F.col("__hits"))).select(*candidates.columns)
 
 
 def disjoint(a: Column, b: Column) -> Column:

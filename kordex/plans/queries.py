@@ -718,3 +718,6 @@ select doc_id, len(list_filter(list_slice(list_filter(w, lambda x: length(x) >=
 def token_like_filter(spark: SparkSession, sf: str) -> DataFrame:
     tokens = text.tokens(F.lit("the with that hein thtion and blees"))
     return t(spark, sf, "documents").select("doc_id", filters.any_token(tokens, F.coalesce("text", F.lit(""))).alias("hit"))
+
+
+from . import more_queries as _more_queries  # noqa: E402, F401  (registers its queries here)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv as _csv
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,18 +54,22 @@ def convert_csv(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(c.strip().lstrip("﻿")) for c in kept])
 
 
-def read_rows(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """A file in which rows may be short (padded with nulls) or end in separators (kept); rows with more fields that say something are left out.
+def read_rows(spark: SparkSession, path: str, sep: str = ";", beyond: int = 64) -> DataFrame:
+    """A file, or a folder of files with one header, in which rows may be short (padded with nulls) or end in separators (kept).
 
-    Spark's own mode that drops malformed rows also drops the first two kinds, so fields are split here.
+    Rows with more fields that say something are left out, and so are rows that repeat the header and rows that say nothing.
+    Spark's own mode that drops malformed rows also drops short ones, so rows are read with `beyond` more
+    columns than the header has. Quoted fields may hold separators.
     """
-    header = head_bytes(spark, path).decode("utf-8-sig").split("\n", 1)[0].rstrip("\r").split(sep)
-    n = len(header)
-    lines = spark.read.options(header=False, sep="", quote="", encoding="utf-8").text(path)
-    fields = F.split(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r$", ""), f"\\Q{sep}\\E", -1)
-    rows = lines.select(fields.alias("f")).where(~F.forall(F.slice("f", 1, n), lambda x: x.isin(*header)) | (F.size("f") < n))
-    fit = rows.where(F.forall(F.slice("f", n + 1, 10_000), lambda x: F.trim(x) == "") & ~F.forall("f", lambda x: F.trim(x) == ""))
-    return fit.select(*[F.get("f", F.lit(i)).alias(h.strip()) for i, h in enumerate(header)])
+    first = path if not (parts := list_sources(spark, path, "part-*")) else parts[0]
+    header = next(_csv.reader([head_bytes(spark, first).decode("utf-8-sig").split("\n", 1)[0].rstrip("\r")], delimiter=sep))
+    own, more = [f"c{i}" for i in range(len(header))], [f"m{i}" for i in range(beyond)]
+    rows = spark.read.options(header=False, sep=sep, encoding="utf-8", escape='"', ignoreTrailingWhiteSpace=False).schema(", ".join(f"{c} string" for c in [*own, *more])).csv(path)
+    said = lambda c: F.trim(F.coalesce(F.regexp_replace(c, "^\ufeff", ""), F.lit("")))
+    title = reduce(lambda a, x: a & (said(x[0]) == x[1].strip()), zip(own, header, strict=True), F.lit(True))
+    something = reduce(lambda a, c: a | (said(c) != ""), own, F.lit(False))
+    too_long = reduce(lambda a, c: a | (said(c) != ""), more, F.lit(False))
+    return rows.where(~title & something & ~too_long).select(*[F.col(c).alias(h.strip()) for c, h in zip(own, header, strict=True)])
 
 
 def list_sources(spark: SparkSession, folder: str, pattern: str = "*_clean.csv", exclude: Iterable[str] = ()) -> list[str]:
@@ -82,3 +88,8 @@ def write_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "overwrite")
     """Text files with a header; arrays and maps are written as JSON, nulls as empty cells."""
     plain = [F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema.fields]
     df.select(*plain).na.fill("").write.mode(mode).options(header=True, sep=sep, encoding="utf-8", emptyValue="", escape='"').csv(path)
+
+
+def export_sorted(df: DataFrame, path: str, key: str, sep: str = ";") -> None:
+    """Rows in the order of a key, over files in the order of their names; nulls as empty cells."""
+    write_csv(df.orderBy(key), path, sep)

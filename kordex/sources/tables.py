@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 import zipfile
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from pathlib import Path
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +19,32 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(*keys) if 2 * splits <= df.sparkSession.sparkContext.defaultParallelism else df
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the folder that the cluster shares (spark.checkpoint.dir; where it is unset, below the warehouse)."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def page(df: DataFrame, order: Sequence[Column | str], size: int, number: int = 0) -> DataFrame:
+    """Page `number` (from 0) of rows in an order that ends in a unique column."""
+    return df.orderBy(*order).offset(size * number).limit(size)
+
+
+def public_copy(spark: SparkSession, source: str, target: str) -> str:
+    """A file copied for the public under a byte order mark, once: a copy that is there is used again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where, to = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = to.getFileSystem(conf)
+    if files.exists(to):
+        return target
+    part = jvm.org.apache.hadoop.fs.Path(target + ".part")
+    out, held = files.create(part, True), where.getFileSystem(conf).open(where)
+    out.write(bytearray(b"\xef\xbb\xbf"))
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, conf, True)
+    files.rename(part, to)
+    return target
+
+
 def write_search_table(df: DataFrame, path: str, family: str = "effective_family") -> None:
     """Parquet by family, sorted by branch within files, so that scans of a family or a branch skip the rest."""
     salted = df.repartition(F.col(family), F.pmod(F.xxhash64("row_idx"), F.lit(16)))
