@@ -356,9 +356,9 @@ def test_jaccard_equals_brute_force(spark, awkward, monkeypatch):
     rows += texts(spark, awkward)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components([(d, t or "") for d, t in rows])
-    for block, segment in ((256, 128), (8, 16)):
+    for block, keys in ((256, 8192), (8, 64)):
         monkeypatch.setattr(jaccard, "BLOCK", block)
-        monkeypatch.setattr(jaccard, "SEGMENT", segment)
+        monkeypatch.setattr(jaccard, "FRAGMENT_KEYS", keys)
         got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.join_near(docs).collect()), key=repr)
         assert got == want
 
