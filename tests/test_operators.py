@@ -70,8 +70,17 @@ def test_dimension_signatures(spark):
 
 
 @pytest.mark.parametrize(("raw", "want"), [("Кабель ВВГнг 3х1,5", "ввгнг|3x1.5"), ("нет размера", ""), (None, ""), ("ВВГ 4x1 и 1x4", "ввг|4x1")])
-def test_designation(raw, want):
-    assert similarity.designation(raw) == want
+def test_designation(spark, raw, want):
+    assert one(spark, similarity.designation_signature(F.col("c")), c=raw) == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "pairs", "triples"),
+    [("3x3.0", ["3x3.0"], []), ("3.0x3", ["3.0x3"], []), ("5х2×5.0", [], ["2x5.0x5"]), ("10*9 / 4", [], ["4x9x10"]), ("1x2x3x4", [], ["1x2x3"]), ("1x2 1х2", ["1x2"], []), ("", [], [])],
+)
+def test_products_of_numbers(spark, raw, pairs, triples):
+    d = one(spark, similarity.dimension_signatures(F.col("c")), c=raw)
+    assert (d.pairs, d.triples) == (pairs, triples)
 
 
 def test_sequence_ratio(spark):
