@@ -86,9 +86,23 @@ def cached(queries: DataFrame, cache: DataFrame, text_col: Column, article: Colu
     return queries.withColumn("query_hash", text.query_hash(text_col, article)).join(latest, "query_hash", "left")
 
 
+def designated(df: DataFrame, c: Column) -> DataFrame:
+    """Rows of df whose text has a cable designation, with its words (base) and its dimension."""
+    parts = F.split(F.col("__signature"), r"\|")
+    return df.withColumn("__signature", similarity.designation_signature(c)).where("__signature <> ''").withColumns({"base": F.split(parts[0], " "), "dimension": parts[1]}).drop("__signature")
+
+
 def cable_designation(queries: DataFrame, items: DataFrame, query_text: Column, item_text: Column, slack: int = 3) -> DataFrame:
-    """(query_id, row_idx): items with the same dimension in the same order whose base has each word of the request's, up to `slack` letters longer."""
-    split = lambda df, c, name: df.withColumn(name, similarity.designation_signature(c)).where(F.col(name) != "").select("*", F.split(name, r"\|")[0].alias(f"{name}_base"), F.split(name, r"\|")[1].alias("dimension"))
-    q, i = split(queries, query_text, "qd"), split(items, item_text, "idn")
-    inside = F.forall(F.split("qd_base", " "), lambda t: F.exists(F.split("idn_base", " "), lambda u: F.startswith(u, t) & (F.length(u) - F.length(t) <= slack)))
-    return q.select("query_id", "qd_base", "dimension").join(i.select("row_idx", "idn_base", "dimension"), "dimension").where(inside).select("query_id", "row_idx")
+    """(query_id, row_idx): items with the same dimension in the same order whose base has each word of the request's, up to `slack` letters longer.
+
+    Items offer each of their words, and it cut by up to `slack` letters, with the dimension as an equal key; a request looks
+    up its longest word. Common dimensions alone are no key. An item has at most 4 * (slack + 1) rows.
+    """
+    q = designated(queries.select("query_id", query_text.alias("t")), F.col("t"))
+    i = designated(items.select("row_idx", item_text.alias("t")), F.col("t"))
+    longest = F.array_max(F.transform("base", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    cut = lambda w: F.transform(F.sequence(F.greatest(F.lit(1), F.length(w) - slack), F.length(w)), lambda n: F.substring(w, F.lit(1), n))
+    asked = q.select("query_id", "dimension", longest.alias("word"), F.col("base").alias("wanted"))
+    offered = i.select("row_idx", "dimension", "base", F.explode(F.array_distinct(F.flatten(F.transform("base", cut)))).alias("word"))
+    inside = F.forall("wanted", lambda t: F.exists("base", lambda u: F.startswith(u, t) & (F.length(u) - F.length(t) <= slack)))
+    return asked.join(offered, ["dimension", "word"]).where(inside).select("query_id", "row_idx")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,39 +15,66 @@ from .schema import header_key
 # The header of a request sheet, the word of result columns, the text of a missing position.
 FULL_HEADER = "наименование оборудования, материалов и кабелей"
 FOUND, MISSING = "найден", "Позиция отсутствует в БД"
-QUERY_NAMES, ARTICLE_NAMES = {"наименование", "номенклатура", "product name", "name"}, {"артикул", "sku", "партномер", "vendor code", "part number"}
 
 
-def query_score(header: str) -> int:
-    """How sure a header names what is asked for."""
-    k = header_key(header)
-    if k == FULL_HEADER:
-        return 100
-    if k in QUERY_NAMES:
-        return 90
-    parts = ((("наименован",), 60), (("номенклатур",), 55), (("оборудован", "материал", "кабел"), 20), ((FOUND,), -100))
-    return sum(points for words, points in parts if any(w in k for w in words))
+@dataclass(frozen=True)
+class Role:
+    """What a column of a sheet is for: whole headers that say so with their points, parts of headers with theirs (tight ones are
+    looked for in the header without blanks; each entry counts once), and parts without which a header has no points at all."""
+
+    whole: Mapping[str, int] = field(default_factory=dict)
+    whole_tight: Mapping[str, int] = field(default_factory=dict)
+    parts: Sequence[tuple[tuple[str, ...], int]] = ()
+    tight: Sequence[tuple[tuple[str, ...], int]] = ()
+    needs: tuple[str, ...] = ()
+
+    def points(self, header: str) -> int:
+        key = header_key(header)
+        close = key.replace(" ", "")
+        if not all(w in key for w in self.needs):
+            return 0
+        if key in self.whole or close in self.whole_tight:
+            return self.whole.get(key) or self.whole_tight[close]
+        return sum(n for where, entries in ((key, self.parts), (close, self.tight)) for words, n in entries if any(w in where for w in words))
+
+    def best(self, columns: Sequence[str]) -> str | None:
+        """The column with the most points, the first of equals; None if none has any."""
+        points, _, column = max(((self.points(c), -i, c) for i, c in enumerate(columns)), default=(0, 0, None))
+        return column if points > 0 else None
+
+
+# Headers and parts of headers of each role, with points.
+ROLES = {
+    "query": Role({FULL_HEADER: 100, "наименование": 90, "номенклатура": 90, "product name": 90, "name": 90}, parts=((("наименован",), 60), (("номенклатур",), 55), (("оборудован", "материал", "кабел"), 20), ((FOUND,), -100))),
+    "article": Role(dict.fromkeys(("артикул", "sku", "партномер", "vendor code", "part number"), 100), parts=((("артикул",), 80), (("sku",), 80), (("партномер", "vendor code", "part number"), 70), ((FOUND,), -100))),
+    "quantity": Role(dict.fromkeys(("количество", "quantity", "qty"), 100), {"кол-во": 100, "колво": 100}, ((("колич",), 80), (("qty", "quantity"), 80), (("кол-во",), 80), (("цена", "стоим", "сумма", "итог", "работ", "материал"), -100)), ((("колво",), 80),)),
+    "material_unit_cost": Role(parts=((("стоим",), 80), (("общ",), -100), (("работ",), -100)), tight=((("заед",), 20),), needs=("стоим", "материал")),
+    "material_total_cost": Role(parts=((("стоим",), 70), (("общ",), 30), (("работ",), -100)), needs=("стоим", "материал")),
+    "labour_unit_cost": Role(parts=((("стоим",), 80), (("общ",), -100)), tight=((("заед",), 20),), needs=("стоим", "работ")),
+    "labour_total_cost": Role(parts=((("стоим",), 70), (("общ",), 30)), needs=("стоим", "работ")),
+}
+
+
+def input_columns(columns: Sequence[str], roles: Mapping[str, Role] = ROLES) -> tuple[str, str | None]:
+    """(query column, article column) of a sheet: those of these roles, else the second and the third column."""
+    if not columns:
+        raise ValueError("the sheet has no columns")
+    asked = roles["query"].best(columns) or columns[min(1, len(columns) - 1)]
+    spare = [c for c in (roles["article"].best(columns), *columns[2:3]) if c not in (None, asked)]
+    return asked, spare[0] if spare else None
 
 
-def article_score(header: str) -> int:
-    k = header_key(header)
-    if k in ARTICLE_NAMES:
-        return 100
-    parts = ((("артикул",), 80), (("sku",), 80), (("партномер", "vendor code", "part number"), 70), ((FOUND,), -100))
-    return sum(points for words, points in parts if any(w in k for w in words))
+def sheet_columns(columns: Sequence[str], roles: Mapping[str, Role] = ROLES) -> dict[str, str | None]:
+    """The column of each role; None where no header speaks for one. A unit and a total may fall on one column."""
+    asked, article = input_columns(columns, roles)
+    return {name: role.best(columns) for name, role in roles.items()} | {"query": asked, "article": article}
 
 
-def input_columns(columns: Sequence[str]) -> tuple[str, str | None]:
-    """(query column, article column) of a sheet: the best headers, else the second and the third column."""
-    if not columns:
-        raise ValueError("the sheet has no columns")
-    asked = max(columns, key=query_score)
-    if query_score(asked) <= 0:
-        asked = columns[min(1, len(columns) - 1)]
-    article = max(columns, key=article_score)
-    if article_score(article) > 0 and article != asked:
-        return asked, article
-    return asked, columns[2] if len(columns) > 2 and columns[2] != asked else None
+def costs(df: DataFrame, price: Column, roles: Mapping[str, Role] = ROLES) -> DataFrame:
+    """df with quantity, unit_cost and total_cost as numbers: the quantity of the sheet (null without a column or a number), the price found, and their product."""
+    column = sheet_columns(df.columns, roles)["quantity"]
+    quantity = text.number(F.col(f"`{column}`")) if column else F.lit(None).cast("double")
+    return df.withColumns({"quantity": quantity, "unit_cost": price, "total_cost": price * quantity})
 
 
 def placeholder(header: str) -> bool:
@@ -60,7 +88,7 @@ def promoted(df: DataFrame, order: str = "row_id") -> DataFrame:
     if not names or sum(map(placeholder, names)) < max(2, len(names) // 2):
         return df
     first = df.orderBy(order).limit(1).collect()
-    if not first or max((query_score(str(first[0][c] or "")) for c in names), default=0) <= 0:
+    if not first or ROLES["query"].best([str(first[0][c] or "") for c in names]) is None:
         return df
     taken = {c: (str(first[0][c]).strip() if first[0][c] is not None and str(first[0][c]).strip() else c) for c in names}
     return df.where(F.col(order) > first[0][order]).withColumnsRenamed(taken)

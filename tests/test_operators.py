@@ -153,6 +153,16 @@ def test_cable_designation_keeps_order(spark):
     assert [(r.query_id, r.row_idx) for r in found.collect()] == [(1, 1)]
 
 
+def test_cable_designation_equals_all_pairs(spark):
+    words = ["ввг", "ввгнг", "ввгнгls", "пвс", "нг", "кг"]
+    texts = [f"{a} {b} {d}".strip() for a in words for b in ("", *words[:4]) for d in ("3x1,5", "1,5х3", "2x4")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {tuple(r) for r in lookup.cable_designation(rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "row_idx"), F.col("t"), F.col("t")).collect()}
+    split = [(t.split()[:-1], t.split()[-1].replace("х", "x").replace(",", ".")) for t in texts]
+    fits = lambda q, i: all(any(u.startswith(t) and len(u) - len(t) <= 3 for u in i) for t in q)
+    assert got == {(a, b) for a, (q, d) in enumerate(split) for b, (i, e) in enumerate(split) if d == e and fits(q, i)}
+
+
 def test_cache_takes_the_latest(spark):
     h = text.query_hash(F.lit("a"), F.lit(""))
     cache = spark.range(3).select(h.alias("query_hash"), F.col("id").alias("result"), F.col("id").alias("stored_at"))
@@ -212,6 +222,32 @@ def test_sheet_columns():
     assert p.input_columns(["x", "y", "z"]) == ("y", "z") and p.input_columns(["x"]) == ("x", None)
     with pytest.raises(ValueError, match="columns"):
         p.input_columns([])
+    assert p.input_columns(["x", "Наименование", "y", "Артикул"]) == ("Наименование", "Артикул") and p.input_columns(["x", "y", "Наименование"]) == ("Наименование", None)
+
+
+@pytest.mark.parametrize(
+    ("role", "header", "points"),
+    [
+        ("query", "Найденная номенклатура", -45), ("query", "Наименование материалов", 80), ("query", "  NAME ", 90), ("article", "Артикул (SKU)", 160), ("article", "part number 2", 70), ("quantity", "Кол-во", 100),
+        ("quantity", "Кол - во", 100), ("quantity", "Количество, стоимость", -20), ("quantity", "", 0), ("material_unit_cost", "Стоимость материалов за ед.", 100), ("material_unit_cost", "Общая стоимость материалов", -20),
+        ("material_total_cost", "Общая стоимость материалов", 100), ("material_total_cost", "Стоимость работ", 0), ("labour_unit_cost", "Стоимость работ за единицу", 100), ("labour_total_cost", "Общая стоимость работ", 100),
+    ],
+)
+def test_points_of_headers(role, header, points):
+    from kordex.operators import proposals as p
+
+    assert p.ROLES[role].points(header) == points
+
+
+def test_columns_of_a_sheet(spark):
+    from kordex.operators import proposals as p
+
+    names = ["№", "Наименование", "Кол-во", "Стоимость материалов за ед.", "Общая стоимость работ"]
+    found = p.sheet_columns(names)
+    assert (found["query"], found["article"], found["quantity"]) == ("Наименование", "Кол-во", "Кол-во")
+    assert (found["material_unit_cost"], found["labour_total_cost"]) == (names[3], names[4])
+    df = p.costs(spark.createDataFrame([("a", "2,5"), ("b", None), ("c", "шт")], "`Наименование` string, `Кол-во` string"), F.lit(4.0))
+    assert [(r["quantity"], r["total_cost"]) for r in df.collect()] == [(2.5, 10.0), (None, None), (None, None)]
 
 
 def test_embedded_header_and_views(spark):
