@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 
+#: Pairs that one part of a group of equal designations makes at most, as far as its requests can be dealt.
+PAIRS = 20_000_000
+
 
 def first_by(df: DataFrame, key: str, *order: Column, k: int = 1) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
@@ -95,14 +98,23 @@ def designated(df: DataFrame, c: Column) -> DataFrame:
 def cable_designation(queries: DataFrame, items: DataFrame, query_text: Column, item_text: Column, slack: int = 3) -> DataFrame:
     """(query_id, row_idx): items with the same dimension in the same order whose base has each word of the request's, up to `slack` letters longer.
 
-    Items offer each of their words, and it cut by up to `slack` letters, with the dimension as an equal key; a request looks
-    up its longest word. Common dimensions alone are no key. An item has at most 4 * (slack + 1) rows.
+    Designations are compared once each, however many texts have them: distinct ones of items offer each of their words, and it cut by
+    up to `slack` letters, with the dimension as an equal key; a distinct one of requests looks up its longest word. Common dimensions alone
+    are no key. An item's designation has at most 4 * (slack + 1) rows. Rows then meet by equal keys, PAIRS of a group at a time.
     """
-    q = designated(queries.select("query_id", query_text.alias("t")), F.col("t"))
-    i = designated(items.select("row_idx", item_text.alias("t")), F.col("t"))
+    spread = lambda df, key, t: designated(df.select(key, t.alias("t")), F.col("t")).select(key, "dimension", "base")
+    q, i = spread(queries, "query_id", query_text), spread(items, "row_idx", item_text)
+    counts = lambda df, n: df.groupBy("dimension", "base").agg(F.count(F.lit(1)).alias(n))
     longest = F.array_max(F.transform("base", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     cut = lambda w: F.transform(F.sequence(F.greatest(F.lit(1), F.length(w) - slack), F.length(w)), lambda n: F.substring(w, F.lit(1), n))
-    asked = q.select("query_id", "dimension", longest.alias("word"), F.col("base").alias("wanted"))
-    offered = i.select("row_idx", "dimension", "base", F.explode(F.array_distinct(F.flatten(F.transform("base", cut)))).alias("word"))
+    asked = counts(q, "nq").select("dimension", longest.alias("word"), F.col("base").alias("wanted"), "nq")
+    offered = counts(i, "ni").select("dimension", "base", "ni", F.explode(F.array_distinct(F.flatten(F.transform("base", cut)))).alias("word"))
     inside = F.forall("wanted", lambda t: F.exists("base", lambda u: F.startswith(u, t) & (F.length(u) - F.length(t) <= slack)))
-    return asked.join(offered, ["dimension", "word"]).where(inside).select("query_id", "row_idx")
+    met = asked.join(offered, ["dimension", "word"]).where(inside)
+    deals = F.ceil(F.col("nq") * F.col("ni") / F.lit(PAIRS))
+    # A group's requests are dealt over its parts, its items go to each of them.
+    parted = met.select("dimension", "wanted", "base", F.least(deals, F.col("nq")).cast("int").alias("parts"))
+    mine = q.withColumnRenamed("base", "wanted").join(parted, ["dimension", "wanted"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+    theirs = i.join(parted, ["dimension", "base"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    told = ["dimension", "wanted", "base", "part"]
+    return mine.select("query_id", *told).join(theirs.select("row_idx", *told).hint("shuffle_hash"), told).select("query_id", "row_idx")
