@@ -163,7 +163,7 @@ def column_article_override(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     part = F.concat(F.lit("ab-"), k.cast("string"))
     line = F.concat(F.lit("bolt "), F.when(k % 4 == 3, F.concat(F.lit("999"), k.cast("string"), F.lit(" "))).otherwise(""), part)
-    column = F.when(k % 4 == 3, F.concat(F.lit("999"), k.cast("string"))).when(k % 4 == 2, part).when(k % 4 == 1, F.lit("zz-777")).otherwise("777")
+    column = F.when(k % 4 == 3, F.concat(F.lit("999"), k.cast("string"))).when(k % 4 == 2, part).when(k % 4 == 1, F.lit("zz-777")).otherwise(F.concat(F.lit("0"), k.cast("string")))  # longer than the number in the line, so never in it
     over = candidates.override_article(line, column, part, k % 3 == 0, F.lit(False))
     return t(spark, sf, "part").select("p_partkey", over.alias("over"))
 
